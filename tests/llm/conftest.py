@@ -1,0 +1,18 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    made = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
+    made.sparkContext.setLogLevel("ERROR")
+    return made
+
+
+def frame(spark, rows, schema="doc_id bigint, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    return lambda rows, schema="doc_id bigint, text string": frame(spark, rows, schema)
