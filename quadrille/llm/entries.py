@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash
+from . import decontam, minhash, packing, quality
 from .common import table
 
 
@@ -15,6 +15,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, calibrated probability and verdict of every document."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of documents that fill each window."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each near-duplicate document with the document of its group that stays."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -22,6 +32,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_related_packing": op7_related_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
