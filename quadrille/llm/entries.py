@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, packing, quality
+from . import decontam, minhash, packing, quality, secrets
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each secret of each document with its hash's counts over the corpus and the verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, calibrated probability and verdict of every document."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,8 +37,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_secret_scan": op2_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_related_packing": op7_related_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": secrets.oracle_sql(),
+}

@@ -38,7 +38,7 @@ def strings(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array
     return pc.utf8_lower(column) if lower else column
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, bytes, offsets) with offsets[0] == 0 for consecutive runs of whole texts."""
     arr = strings(column, lower)
     n = len(arr)
@@ -49,7 +49,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offs, offs[row] + BLOCK, "right")) - 1
+        end = int(np.searchsorted(offs, offs[row] + size, "right")) - 1
         end = min(n, max(end, row + 1))
         yield row, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
