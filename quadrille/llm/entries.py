@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, packing, quality, secrets
+from . import decontam, minhash, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each toxic document, its score and the threshold."""
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, calibrated probability and verdict of every document."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -38,6 +43,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_related_packing": op7_related_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
