@@ -81,5 +81,13 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= (BROADCAST_LIMIT if limit is None else limit) else df
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

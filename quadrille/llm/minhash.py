@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, fresh
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK = 3, 32, 4, 0.6, 1024
 SEED = 20240917
@@ -222,5 +222,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
     """The rows of docs whose document stays, with their columns as they are."""
     scratch = scratch or Scratch(docs.sparkSession)
-    gone = scratch.table(near_duplicates(docs, id_col, text_col, scratch=scratch, **options).select(F.col("doc_id").alias("__gone")))
-    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = scratch.table(near_duplicates(docs, id_col, text_col, scratch=scratch, **options).select(F.col("doc_id").alias(name)))
+    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col(name), "left_anti")

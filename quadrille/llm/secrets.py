@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, fresh
 
 #: An example is held by at least this many owners; a key has at least this many different characters.
 WIDE_OWNERS, MIN_DISTINCT = 3, 6
@@ -79,16 +79,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", scratch: Scratch | None = None, **options) -> DataFrame:
     """docs, every row, with the live-looking secrets blotted out and ``length_col``, if given, set to the new length."""
     scratch = scratch or Scratch(docs.sparkSession)
+    live_id, held, clean = (fresh(docs, c) for c in ("live_id", "live_hashes", "clean_text"))
     live = scan(docs, id_col, text_col, scratch=scratch, **options).where("verdict = 'live'")
-    live = scratch.table(live.groupBy("doc_id").agg(F.collect_set("secret_hash").alias("__live")).withColumnRenamed("doc_id", "__live_id"))
-    joined = docs.join(broadcast_if_small(live), F.col(id_col).eqNullSafe(F.col("__live_id")), "left")
-    values = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)), _value), lambda v: F.array_contains("__live", F.sha2(v, 256)))
+    live = scratch.table(live.groupBy("doc_id").agg(F.collect_set("secret_hash").alias(held)).withColumnRenamed("doc_id", live_id))
+    joined = docs.join(broadcast_if_small(live), F.col(id_col).eqNullSafe(F.col(live_id)), "left")
+    values = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)), _value), lambda v: F.array_contains(held, F.sha2(v, 256)))
     longest = F.array_sort(F.array_distinct(values), lambda a, b: F.length(b) - F.length(a))
-    clean = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(F.aggregate(longest, F.col(text_col), lambda text, v: F.replace(text, v, F.lit(REDACTED))))
-    joined = joined.withColumn("__clean", clean)
-    out = {text_col: F.col("__clean")}
+    blotted = F.aggregate(longest, F.col(text_col), lambda text, v: F.replace(text, v, F.lit(REDACTED)))
+    joined = joined.withColumn(clean, F.when(F.col(held).isNull(), F.col(text_col)).otherwise(blotted))
+    out = {text_col: F.col(clean)}
     if length_col and length_col in docs.columns:
-        out[length_col] = F.when(F.col("__live").isNull(), F.col(length_col)).otherwise(F.length("__clean").cast(docs.schema[length_col].dataType))
+        out[length_col] = F.when(F.col(held).isNull(), F.col(length_col)).otherwise(F.length(clean).cast(docs.schema[length_col].dataType))
     return joined.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
