@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, quality, secrets, toxicity
+from . import chat, decontam, minhash, packing, quality, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -25,6 +26,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page, and what of the list of pages served over plain http blocks it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.blocked(pages, urlfilter.downgraded(pages)).withColumn("blocked", F.col("matched_entry").isNotNull())
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, calibrated probability and verdict of every document."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -35,6 +42,11 @@ def op7_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical turns of the conversations, from records in five layouts."""
+    return chat.canonical_turns(chat.heterogeneous(table(spark, sf_dir, "conversations")))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each near-duplicate document with the document of its group that stays."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,10 +56,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_related_packing": op7_related_packing,
+    "op8_chat_formatting": op8_chat_formatting,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secrets.oracle_sql(),
+    "op4_url_filter": urlfilter.oracle_sql(),
+    "op8_chat_formatting": chat.ORACLE_SQL,
 }
