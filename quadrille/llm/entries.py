@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, packing, quality, secrets, toxicity, urlfilter
+from . import chat, decontam, media, minhash, packing, quality, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.blocked(pages, urlfilter.downgraded(pages)).withColumn("blocked", F.col("matched_entry").isNotNull())
 
 
+def op5_media_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, size and frequency hash of each embedding drawn as a PNG in a binary column."""
+    return media.hashes(media.rendered(table(spark, sf_dir, "embeddings")), "vec_id", "image")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, calibrated probability and verdict of every document."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -47,6 +52,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.canonical_turns(chat.heterogeneous(table(spark, sf_dir, "conversations")))
 
 
+def op9_bounded_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each near-duplicate document with the document of its group that stays."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -57,9 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_media_hash": op5_media_hash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_related_packing": op7_related_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_bounded_sharding": op9_bounded_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
