@@ -1,10 +1,6 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from . import graph_queries, mapping_queries, mining_queries, report_queries, term_queries
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries", "mapping_queries", "mining_queries", "report_queries", "term_queries"]

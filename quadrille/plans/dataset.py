@@ -19,6 +19,7 @@ MAPPING = [
     ("nation", "places", "concat('{b}nation/', n_nationkey)", [(terms.TYPE, "iri", "'{v}Nation'", None), (terms.SKOS + "altLabel", "literal", "n_name", _STRING), ("{v}inRegion", "iri", "concat('{b}region/', n_regionkey)", None)]),
     ("customer", "sales", "concat('{b}customer/', c_custkey)", [(terms.TYPE, "iri", "'{v}Customer'", None), (terms.TYPE, "iri", "concat('{v}Segment_', c_mktsegment)", None), ("{v}inNation", "iri", "concat('{b}nation/', c_nationkey)", None), ("{v}name", "literal", "c_name", _STRING), ("{v}balance", "literal", "cast(cast(round(c_acctbal * 100) as bigint) as varchar(20))", _INTEGER)]),
     ("supplier", "supply", "concat('{b}supplier/', s_suppkey)", [(terms.TYPE, "iri", "'{v}Supplier'", None), ("{v}inNation", "iri", "concat('{b}nation/', s_nationkey)", None), ("{v}name", "literal", "s_name", _STRING)]),
+    ("supplier", "web", "concat('{b}supplier/', s_suppkey)", [("{v}homepage", "iri", "concat('http://www.example.com/s/', s_suppkey)", None)]),
     ("part", "supply", "concat('{b}part/', p_partkey)", [(terms.TYPE, "iri", "'{v}Part'", None), (terms.TYPE, "iri", "concat('{v}', replace(p_type, ' ', '_'))", None), ("{v}name", "literal", "p_name", _STRING), ("{v}brand", "literal", "p_brand", _STRING), ("{v}size", "literal", "cast(p_size as varchar(20))", _INTEGER)]),
     ("orders", "sales", "concat('{b}order/', o_orderkey)", [(terms.TYPE, "iri", "'{v}Order'", None), (terms.TYPE, "iri", "concat('{v}Status_', o_orderstatus)", None), ("{v}byCustomer", "iri", "concat('{b}customer/', o_custkey)", None), ("{v}priority", "literal", "o_orderpriority", _STRING), ("{v}date", "literal", "cast(cast(o_orderdate as date) as varchar(20))", _DATE)]),
     ("lineitem", "sales", _LINE, [(terms.TYPE, "iri", "'{v}Line'", None), ("{v}ofOrder", "iri", "concat('{b}order/', l_orderkey)", None), ("{v}ofPart", "iri", "concat('{b}part/', l_partkey)", None), ("{v}bySupplier", "iri", "concat('{b}supplier/', l_suppkey)", None), ("{v}quantity", "literal", "cast(cast(round(l_quantity) as bigint) as varchar(20))", _INTEGER)]),

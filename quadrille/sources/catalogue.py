@@ -66,11 +66,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if low.endswith((".yaml", ".yml")):
         import yaml
 
-        loaded = yaml.safe_load("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())) or []
+        loaded = yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or []
         entries = loaded.get("sources", loaded) if isinstance(loaded, dict) else loaded
         entries = [{"name": k, **v} for k, v in entries.items()] if isinstance(entries, dict) else entries
     elif low.endswith((".json", ".jsonld")):
-        loaded = json.loads(spark.read.option("wholetext", True).text(path).first().value)
+        loaded = json.loads(spark.read.text(path, wholetext=True).first().value)
         entries = [_from_node(n) for n in loaded.get("@graph", [])]
     elif low.endswith((".csv", ".tsv")):
         rows = spark.read.option("header", True).option("sep", "\t" if low.endswith(".tsv") else ",").csv(path)

@@ -28,14 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, which is deleted when the driver ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that is deleted when the driver ends."""
     made = f"{shared_folder(spark)}/quadrille-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(made)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    made = new_folder(df.sparkSession)
     df.write.parquet(made)
-    return spark.read.schema(df.schema).parquet(made)
+    return df.sparkSession.read.schema(df.schema).parquet(made)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:

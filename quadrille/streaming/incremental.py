@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import terms
 from ..operators import mining
+from ..storage import exists
 
 QUAD = "g string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string"
 
@@ -59,11 +60,11 @@ def maintain(stream: DataFrame, quads_path: str, patterns_path: str, checkpoint:
         subjects = touched.union(linking).distinct()
         classes = mining.types(quads).join(subjects, "s", "left_semi").select(F.col("c").alias("class")).distinct()
         fresh = mining.mine(quads, only=classes)
-        try:
-            old = spark.read.parquet(f"{patterns_path}/{number - 1}") if number else None
-        except Exception:  # noqa: BLE001 - the batch before wrote nothing: start from all quads
-            old, fresh = None, mining.mine(quads)
-        if old is not None:
+        before = f"{patterns_path}/{number - 1}"
+        if number and not exists(spark, f"{before}/_SUCCESS"):  # the batch before was lost: start from all quads
+            fresh = mining.mine(quads)
+        elif number:
+            old = spark.read.parquet(before)
             fresh = old.join(classes.withColumnRenamed("class", "subject_class"), "subject_class", "left_anti").unionByName(fresh)
         fresh.write.mode("overwrite").parquet(f"{patterns_path}/{number}")
 
