@@ -150,7 +150,7 @@ def central(edges: DataFrame, with_betweenness: bool = True) -> DataFrame:
         scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
         return pd.DataFrame({"node": sorted(near), "eccentricity": [far[v] for v in sorted(near)], "betweenness": [score[v] * scale for v in sorted(near)]})
 
-    return edges.select("a", "b").groupBy(F.lit(1)).applyInPandas(run, "node string, eccentricity bigint, betweenness double")
+    return edges.select("a", "b", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "node string, eccentricity bigint, betweenness double")
 
 
 def hub_classes(patterns: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ def best_runs(runs: DataFrame) -> DataFrame:
 
 def phase_time(reports: DataFrame, prefixes: dict[str, str], column: str = "query_stats") -> DataFrame:
     """reports with one column for each prefix: the seconds of the queries whose purpose starts with it."""
+    starting = lambda prefix: lambda k, _: k.startswith(prefix)
     for name, prefix in prefixes.items():
-        mine = F.map_values(F.map_filter(column, lambda k, _, prefix=prefix: k.startswith(prefix)))
+        mine = F.map_values(F.map_filter(column, starting(prefix)))
         reports = reports.withColumn(name, F.aggregate(F.transform(mine, lambda q: q["total_time_s"]), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
     return reports
 

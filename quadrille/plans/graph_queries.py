@@ -123,12 +123,8 @@ def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centrality in the graph of the supplier nations' ten heaviest links each; tested against brute force."""
-    from pyspark.sql import Window
-
-    trade = _trade(spark, sf_dir)
-    heavy = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
-    return graphs.central(trade.withColumn("n", F.row_number().over(heavy)).where("n <= 3").drop("n"))
+    """Eccentricity and betweenness in the graph of schema links; tested against counted paths."""
+    return graphs.central(graphs.weights(graphs.schema_links(_patterns(spark, sf_dir))))
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
