@@ -115,20 +115,31 @@ def discount(counts: np.ndarray) -> float:
     return float(one / (one + 2 * two)) if one and two else 0.5
 
 
-def backoff(codes: np.ndarray, continuation: np.ndarray) -> np.ndarray:
-    """The shared model's probability of the last byte of each (ORDER - 1)-gram, interpolated to the lowest order."""
-    levels = {ORDER - 1: (codes, continuation.astype(float))}
+def _mask(m: int) -> int:
+    return (1 << 8 * m) - 1
+
+
+def backoff(short: DataFrame, scratch: Scratch) -> DataFrame:
+    """(code, p): the shared model's probability of the last byte of each (ORDER - 1)-gram of short (code, n), interpolated to the lowest order.
+
+    Every level is a table, so that nothing of the corpus's vocabulary comes to the driver but two counts a level.
+    """
+    levels = {ORDER - 1: scratch.table(short)}
     for m in range(ORDER - 2, 0, -1):
-        short, n = np.unique(levels[m + 1][0] & ((1 << 8 * m) - 1), return_counts=True)
-        levels[m] = short, n.astype(float)
-    p = np.zeros(0)
+        levels[m] = scratch.table(levels[m + 1].groupBy(F.col("code").bitwiseAND(F.lit(_mask(m))).alias("code")).agg(F.count("*").alias("n")))
+    lower = None
     for m in range(1, ORDER):
-        code, n = levels[m]
-        _, at, types = np.unique(code >> 8, return_inverse=True, return_counts=True)
-        total, d = np.bincount(at, n), discount(n)
-        lower = p[np.searchsorted(levels[m - 1][0], code & ((1 << 8 * (m - 1)) - 1))] if m > 1 else 1 / 256
-        p = (n - d) / total[at] + d * types[at] / total[at] * lower
-    return p
+        one, two = levels[m].agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        d = one / (one + 2 * two) if one and two else 0.5
+        here = levels[m].withColumn("h", F.shiftright("code", 8))
+        here = here.join(here.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("types")), "h")
+        if lower is None:
+            here = here.withColumn("low", F.lit(1 / 256))
+        else:
+            here = here.withColumn("suffix", F.col("code").bitwiseAND(F.lit(_mask(m - 1)))).join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("low")), "suffix")
+        lower = here.select("code", ((F.col("n") - d) / F.col("total") + d * F.col("types") / F.col("total") * F.col("low")).alias("p"))
+        lower = scratch.table(lower) if m < ORDER - 1 else lower
+    return lower
 
 
 @dataclass(frozen=True)
@@ -158,13 +169,10 @@ class Model:
         return np.concatenate(out)
 
 
-def model_of(codes: np.ndarray, counts: np.ndarray, short: np.ndarray, continuation: np.ndarray) -> Model:
-    """codes, counts: the labelled grams with (ordinary, toxic) counts; short, continuation: the shared (ORDER - 1)-grams."""
+def model_of(codes: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> Model:
+    """codes, counts: the labelled grams with (ordinary, toxic) counts; lower: the shared probability of each."""
     order = np.argsort(codes)
-    codes, counts = codes[order], counts[order].astype(float)
-    order = np.argsort(short)
-    short, continuation = short[order], continuation[order]
-    lower = backoff(short, continuation)[np.searchsorted(short, codes & ((1 << 8 * (ORDER - 1)) - 1))]
+    codes, counts, lower = codes[order], counts[order].astype(float), lower[order]
     contexts, at = np.unique(codes >> 8, return_inverse=True)
     logs, weights = [], []
     for k in range(2):
@@ -190,13 +198,12 @@ def fit(texts: DataFrame, scratch: Scratch, max_grams: int = MAX_GRAMS) -> Model
         least *= 2
         kept = counted.where(F.col("ordinary") + F.col("toxic") * (ordinary / toxic) >= least)
         n = kept.count()
-    grams = kept.select("code", "ordinary", "toxic").toArrow()
-    suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))
-    shared = counted.groupBy(suffix.alias("code")).agg(F.count("*").alias("n")).toArrow()
+    suffix = F.col("code").bitwiseAND(F.lit(_mask(ORDER - 1)))
+    shared = backoff(counted.groupBy(suffix.alias("code")).agg(F.count("*").alias("n")), scratch)
+    grams = kept.select("code", "ordinary", "toxic", suffix.alias("suffix")).join(shared.select(F.col("code").alias("suffix"), "p"), "suffix").toArrow()
     scratch.drop(counted)
-    columns = lambda t, *names: [t.column(c).to_numpy() for c in names]
-    code, a, b = columns(grams, "code", "ordinary", "toxic")
-    return model_of(code, np.stack([a, b], 1), *columns(shared, "code", "n"))
+    code, a, b, lower = (grams.column(c).to_numpy() for c in ("code", "ordinary", "toxic", "p"))
+    return model_of(code, np.stack([a, b], 1), lower)
 
 
 def best_threshold(bins: list[tuple[int, int, int]]) -> int | None:

@@ -79,11 +79,14 @@ def test_scores_equal_the_models_written_out(spark, make):
     np.testing.assert_allclose(model.score(pa.array(texts)), want, atol=1e-6)
 
 
-def test_shared_backoff_sums_to_one_over_the_seen():
+def test_shared_backoff_sums_to_one_over_the_seen(spark, make):
     codes = np.unique(np.concatenate([x.word_grams(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in CALM]))
     short, n = np.unique(codes & ((1 << 8 * (x.ORDER - 1)) - 1), return_counts=True)
     by = defaultdict(float)
-    for c, p in zip(short, x.backoff(short, n)):
+    rows = make([(int(c), int(k)) for c, k in zip(short, n)], "code bigint, n bigint")
+    got = x.backoff(rows, Scratch(spark)).collect()
+    assert len(got) == len(short)
+    for c, p in got:
         by[int(c) >> 8] += p
     assert max(by.values()) <= 1 + 1e-9
 
