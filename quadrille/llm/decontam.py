@@ -172,6 +172,7 @@ def _leaked(sent, rate: float):
         matcher = Matcher(sent.value, rate)
         for batch in batches:
             yield pa.array([bool(matcher.matches(" ".join(t.split()))) for t in tk.strings(batch, lower=True).to_pylist()], pa.bool_())
+        tk.release()
 
     return leaked
 

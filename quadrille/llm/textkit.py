@@ -10,6 +10,7 @@ of non-ASCII characters, after lower-casing.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,19 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from stage to stage, and would keep the most they ever had."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def strings(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
     """One large_string array without nulls (a null becomes the empty text)."""
     if isinstance(column, pa.ChunkedArray):
@@ -53,6 +67,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         end = min(n, max(end, row + 1))
         yield row, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
+    release()
 
 
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
