@@ -6,8 +6,10 @@ the same axes); each document gets ``AXES`` whole-number coordinates.
 
 Graph.  Space is cut into boxes of about ``LEAF`` documents by a k-d tree.  Every document is a query: its
 ``NEIGHBOURS`` nearest are found in its own box, then in every box that reaches into the ball around it, so
-the graph is exact, ties going to the smaller id.  (The tree is built from a bounded sample, ``SAMPLE`` rows;
-it decides where work is done, never which neighbours are found.)
+the graph is exact, ties going to the smaller id.  (The tree is built from a bounded sample, about ``SAMPLE``
+rows, and has at most ``MAX_LEAVES`` boxes; it decides where work is done, never which neighbours are found.)
+A box that outgrows ``LEAF`` is searched through a tree of its own, and documents that lie on one point are
+searched once, so neither many documents nor many copies make the search quadratic.
 
 Paths and windows.  In each box, in parallel, over the graph's edges with both ends there: start at the
 unvisited document of lowest degree, step to the nearest unvisited neighbour, and at a dead end start again
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import Scratch
 
-BUCKETS, AXES, NEIGHBOURS, LEAF, SAMPLE, MAX_LEAVES, WINDOW = 128, 6, 6, 2048, 65536, 4096, 2048
+BUCKETS, AXES, NEIGHBOURS, LEAF, SAMPLE, MAX_LEAVES, WINDOW = 128, 6, 6, 2048, 1 << 20, 1 << 16, 2048
 _SPAN = 4000  # a coordinate's standard deviation on the first axis, in steps
 _CHUNK = 512
 
@@ -73,7 +75,7 @@ def principal(n: float, total: np.ndarray, gram: np.ndarray) -> Axes:
 
 @dataclass(frozen=True)
 class Tree:
-    """Inner node i has children 2i + 1 and 2i + 2; node i of the last level is leaf i - (leaves - 1)."""
+    """Node i has children 2i + 1 and 2i + 2; node i of the last level is leaf i - (leaves - 1).  low and high: every node's box."""
 
     axis: np.ndarray
     cut: np.ndarray
@@ -86,14 +88,15 @@ class Tree:
             node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] > self.cut[node])
         return (node - len(self.axis)).astype(np.int32)
 
-    def reach(self, points: np.ndarray) -> np.ndarray:
-        """Squared distance of each point to each leaf's box."""
-        out = np.zeros((len(points), len(self.low)))
-        for d in range(points.shape[1]):
-            x = points[:, d : d + 1].astype(float)
-            gap = np.maximum(np.maximum(self.low[None, :, d] - x, x - self.high[None, :, d]), 0)
-            out += gap * gap
-        return out
+    def touched(self, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of points, leaves) for every leaf whose box is within the squared radius of a point, in the points' order."""
+        who, node, x = np.arange(len(points)), np.zeros(len(points), np.int64), points.astype(float)
+        for _ in range(int(np.log2(len(self.axis) + 1))):
+            who, node = np.repeat(who, 2), np.stack([2 * node + 1, 2 * node + 2], 1).ravel()
+            gap = np.maximum(np.maximum(self.low[node] - x[who], x[who] - self.high[node]), 0)
+            near = (gap * gap).sum(1) <= radius[who]
+            who, node = who[near], node[near]
+        return who, (node - len(self.axis)).astype(np.int32)
 
 
 def grow(sample: np.ndarray, leaves: int) -> Tree:
@@ -112,26 +115,24 @@ def grow(sample: np.ndarray, leaves: int) -> Tree:
             held[child], low[child], high[child] = part, low[i], high[i]
         high[2 * i + 1, axis[i]] = cut[i]
         low[2 * i + 2, axis[i]] = cut[i] + 1
-    return Tree(axis, cut, low[inner:], high[inner:])
+    return Tree(axis, cut, low, high)
 
 
-def nearest(queries: np.ndarray, points: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(queries x k) positions and squared distances, by (distance, position); -1 and inf where there are fewer.
 
-    Coordinates are whole numbers, so distances are exact.  own: each query's position among the points, left out.
+    Coordinates are whole numbers, so distances are exact.
     """
     m = len(points)
     at, far = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
     p = points.astype(float)
     pp = (p * p).sum(1)
-    take = min(k, m - (own is not None))
+    take = min(k, m)
     if take <= 0:
         return at, far
     for s in range(0, len(queries), _CHUNK):
         q = queries[s : s + _CHUNK].astype(float)
         d = (q * q).sum(1)[:, None] + pp - 2 * (q @ p.T)
-        if own is not None:
-            d[np.arange(len(q)), own[s : s + _CHUNK]] = np.inf
         key = d * m + np.arange(m)
         best = np.argpartition(key, take - 1, axis=1)[:, :take]
         best = np.take_along_axis(best, np.take_along_axis(key, best, 1).argsort(1), 1)
@@ -140,6 +141,73 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int, own: np.ndarray | N
     return at, far
 
 
+def _best(at: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k first of each row by (distance, position)."""
+    order = np.argsort(at, axis=1, kind="stable")
+    at, far = np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
+    order = np.argsort(far, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
+
+
+def search(queries: np.ndarray, points: np.ndarray, k: int, leaf: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` for any number of points, exactly, and beyond ``bound`` (squared) not at all if given.
+
+    Equal queries are one.  Of points that are equal only the k first can be among the k nearest of anything.
+    """
+    points_at = np.unique(points, axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(points_at, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(points_at[order]) > 0])) if len(order) else order
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(order)]])))
+    held = np.sort(order[rank < k])
+    asked, back = np.unique(queries, axis=0, return_inverse=True)
+    back = back.ravel()
+    reach = np.full(len(asked), np.inf)
+    if bound is not None:
+        reach[:] = 0
+        np.maximum.at(reach, back, bound)
+    leaves = 1
+    while leaves * leaf < len(held):
+        leaves *= 2
+    kept = points[held]
+    if leaves == 1:
+        at, far = nearest(asked, kept, k)
+    else:
+        tree = grow(np.unique(kept, axis=0), leaves)
+        inside = tree.leaf(kept)
+        by = np.argsort(inside, kind="stable")
+        first = np.searchsorted(inside[by], np.arange(leaves + 1))
+        at, far = np.full((len(asked), k), -1), np.full((len(asked), k), np.inf)
+
+        def visit(who: np.ndarray, where: np.ndarray) -> None:
+            turn = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[turn], np.arange(leaves + 1))
+            for j in np.flatnonzero(np.diff(edges)):
+                mine, here = who[turn[edges[j] : edges[j + 1]]], by[first[j] : first[j + 1]]
+                a, d = nearest(asked[mine], kept[here], k)
+                a = np.where(a >= 0, here[a] if len(here) else a, -1)
+                at[mine], far[mine] = _best(np.concatenate([at[mine], a], 1), np.concatenate([far[mine], d], 1), k)
+
+        own = tree.leaf(asked)
+        visit(np.arange(len(asked)), own)
+        for s in range(0, len(asked), 1 << 14):
+            part = slice(s, s + (1 << 14))
+            who, where = tree.touched(asked[part], np.minimum(far[part, -1], reach[part]))
+            other = where != own[part][who]
+            visit(who[other] + s, where[other])
+    at = np.where(at >= 0, held[at] if len(held) else at, -1)[back]
+    far = far[back]
+    if bound is not None:
+        at = np.where(far <= bound[:, None], at, -1)
+    return at, far
+
+
+def without_self(at: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of row i's k + 1 nearest, the k first that aren't i."""
+    own = at == np.arange(len(at))[:, None]
+    own[~own.any(1), -1] = True
+    return at[~own].reshape(len(at), -1), far[~own].reshape(len(at), -1)
+
+
 def walk(near: list[list[int]], far: list[list[int]]) -> list[list[int]]:
     """Paths over documents 0..n-1, which are in id order, with directed edges near (distances far)."""
     both: list[dict[int, int]] = [{} for _ in near]
@@ -234,12 +302,19 @@ def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratc
         total[at] = v
     n = int(total[0])
     axes = principal(max(n, 1), total[1 : 1 + BUCKETS], total[1 + BUCKETS :].reshape(BUCKETS, BUCKETS))
-    sample = profile.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("f").toArrow()
     leaves = 1
     while leaves < MAX_LEAVES and leaves * leaf < n:
         leaves *= 2
-    tree = grow(np.unique(axes.place(_unpack(_flat(sample.column(0)), np.uint8, BUCKETS)), axis=0), leaves)
-    sent = spark.sparkContext.broadcast((axes, tree))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_pack(axes.place(_unpack(batch.column(0), np.uint8, BUCKETS)))], ["v"])
+
+    sample = np.zeros((0, AXES), np.int32)
+    if leaves > 1:
+        some = profile.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("f")
+        sample = _unpack(_flat(some.mapInArrow(project, "v binary").toArrow().column(0)), np.int32, AXES)
+    sent = spark.sparkContext.broadcast((axes, grow(np.unique(sample, axis=0), leaves)))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes, tree = sent.value
@@ -256,16 +331,18 @@ def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratc
         tree = sent.value[1]
         part = part.sort_by("id")
         v, ids = _unpack(part.column("v"), np.int32, AXES), _flat(part.column("id"))
-        at, far = nearest(v, v, k, np.arange(len(v)))
+        at, far = without_self(*search(v, v, k + 1, leaf))
         own, radius = int(part.column("leaf")[0].as_py()), far[:, -1]
-        probes = []
-        for s in range(0, len(v), _CHUNK):
-            hit = tree.reach(v[s : s + _CHUNK]) <= radius[s : s + _CHUNK, None]
-            hit[:, own] = False
-            probes.extend(np.flatnonzero(row).astype(np.int32) for row in hit)
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in probes])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *probes])))
+        counts, probes = [], []
+        for s in range(0, len(v), 1 << 14):
+            who, where = tree.touched(v[s : s + (1 << 14)], radius[s : s + (1 << 14)])
+            who, where = who[where != own], where[where != own]
+            counts.append(np.bincount(who, minlength=min(1 << 14, len(v) - s)))
+            probes.append(where)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(probes)))
         bound = pa.array(np.where(np.isfinite(radius), radius, 2.0**62).astype(np.int64))
+        tk.release()
         return pa.Table.from_arrays([ids, _flat(part.column("v")), bound, lists, _pairs(far, at, ids)], ["id", "v", "bound", "probes", "near"])
 
     first_type = T.StructType([id_field, T.StructField("v", T.BinaryType()), T.StructField("bound", T.LongType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("near", pair_type)])
@@ -274,9 +351,9 @@ def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratc
     def across(asked: pa.Table, part: pa.Table) -> pa.Table:
         part = part.sort_by("id")
         q, v = _unpack(asked.column("v"), np.int32, AXES), _unpack(part.column("v"), np.int32, AXES)
-        at, far = nearest(q, v, k)
-        at[far > asked.column("bound").to_numpy()[:, None]] = -1
+        at, far = search(q, v, k, leaf, asked.column("bound").to_numpy().astype(float))
         some = np.flatnonzero((at >= 0).any(1))
+        tk.release()
         return pa.Table.from_arrays([_flat(asked.column("id")).take(pa.array(some)), _pairs(far[some], at[some], _flat(part.column("id")))], ["id", "near"])
 
     near_type = T.StructType([id_field, T.StructField("near", pair_type)])

@@ -39,6 +39,24 @@ def test_neighbours_are_exact_whatever_the_boxes(spark, make):
     assert found[0] == found[1]
 
 
+def test_search_equals_brute_force_with_copies_and_bounds():
+    r = np.random.default_rng(4)
+    for n, spread, leaf in ((1, 5, 8), (7, 1, 2), (200, 2, 8), (400, 40, 16), (300, 1, 4)):
+        v = r.integers(-spread, spread + 1, (n, p.AXES)).astype(np.int32)
+        q = np.concatenate([v, r.integers(-2 * spread, 2 * spread, (30, p.AXES)).astype(np.int32)])
+        d = ((q[:, None].astype(float) - v[None]) ** 2).sum(2)
+        want = [sorted(zip(row, range(n)))[:5] for row in d]
+        at, far = p.search(q, v, 5, leaf)
+        assert [[(b, a) for a, b in zip(x, y) if a >= 0] for x, y in zip(at, far)] == want
+        bound = r.integers(0, 4 * spread * spread, len(q)).astype(float)
+        at, far = p.search(q, v, 5, leaf, bound)
+        assert [[(b, a) for a, b in zip(x, y) if a >= 0] for x, y in zip(at, far)] == [[w for w in row if w[0] <= m] for row, m in zip(want, bound)]
+        at, far = p.without_self(*p.search(v, v, 6, leaf))
+        assert [[(b, a) for a, b in zip(x, y) if a >= 0] for x, y in zip(at, far)] == [sorted((d[i, j], j) for j in range(n) if j != i)[:5] for i in range(n)]
+    at, far = p.search(v[:3], v[:0], 5, 4)
+    assert (at == -1).all() and at.shape == (3, 5)
+
+
 def brute_walk(near, far):
     n = len(near)
     edge = {}
