@@ -1,15 +1,15 @@
 """Related-document packing: a nearest-neighbour graph, greedy low-degree-first paths, windows along the paths.
 
 Vectors.  Words of the whole text are hashed to ``BUCKETS`` counts, square-rooted, normalised and rounded to
-bytes; sums over all documents give their principal axes (exact integer sums, so any order of addition gives
-the same axes); each document gets ``AXES`` whole-number coordinates.
+bytes.  Distances are between these whole profiles; as they are whole numbers, distances are exact.
 
-Graph.  Space is cut into boxes of about ``LEAF`` documents by a k-d tree.  Every document is a query: its
-``NEIGHBOURS`` nearest are found in its own box, then in every box that reaches into the ball around it, so
-the graph is exact, ties going to the smaller id.  (The tree is built from a bounded sample, about ``SAMPLE``
-rows, and has at most ``MAX_LEAVES`` boxes; it decides where work is done, never which neighbours are found.)
-A box that outgrows ``LEAF`` is searched through a tree of its own, and documents that lie on one point are
-searched once, so neither many documents nor many copies make the search quadratic.
+Graph.  Profiles are cut into boxes of about ``LEAF`` documents by a tree whose cuts lie across the widest
+direction of each part.  The boxes are files in the shared folder.  Every document looks for its ``NEIGHBOURS``
+nearest in its own box and in those with the nearest centres, ``PROBES`` in all, ties going to the smaller id.
+Up to ``PROBES`` boxes the graph is exact; beyond, a neighbour in a box that isn't looked at is missed (README has
+the measured recall).  The tree is built from a bounded sample, about ``SAMPLE`` rows, and has at most
+``MAX_LEAVES`` boxes.  Documents with equal profiles are searched once, so many copies don't make the search
+quadratic.
 
 Paths and windows.  In each box, in parallel, over the graph's edges with both ends there: start at the
 unvisited document of lowest degree, step to the nearest unvisited neighbour, and at a dead end start again
@@ -30,6 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import Scratch
 
-BUCKETS, AXES, NEIGHBOURS, LEAF, SAMPLE, MAX_LEAVES, WINDOW = 128, 6, 6, 2048, 1 << 20, 1 << 16, 2048
-_SPAN = 4000  # a coordinate's standard deviation on the first axis, in steps
+BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 2048
+AXES = BUCKETS
 _CHUNK = 512
 
 
@@ -56,146 +58,125 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(counts), np.concatenate(profiles)
 
 
-@dataclass(frozen=True)
-class Axes:
-    mean: np.ndarray
-    basis: np.ndarray
-
-    def place(self, profile: np.ndarray) -> np.ndarray:
-        return np.rint((profile - self.mean) @ self.basis).astype(np.int32)
-
-
-def principal(n: float, total: np.ndarray, gram: np.ndarray) -> Axes:
-    mean = total / n
-    value, vector = np.linalg.eigh(gram / n - np.outer(mean, mean))
-    basis = vector[:, ::-1][:, :AXES]
-    basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(AXES)] < 0, -1, 1)
-    return Axes(mean, basis * (_SPAN / max(np.sqrt(max(value[-1], 0)), 1e-9)))
-
-
 @dataclass(frozen=True)
 class Tree:
-    """Node i has children 2i + 1 and 2i + 2; node i of the last level is leaf i - (leaves - 1).  low and high: every node's box."""
+    """Node i has children 2i + 1 and 2i + 2; node i of the last level is leaf i - (leaves - 1).  Directions and cuts are whole numbers, so equal points share a leaf."""
 
-    axis: np.ndarray
+    way: np.ndarray
     cut: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
 
     def leaf(self, points: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(points), np.int64)
-        for _ in range(int(np.log2(len(self.axis) + 1))):
-            node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] > self.cut[node])
-        return (node - len(self.axis)).astype(np.int32)
-
-    def touched(self, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of points, leaves) for every leaf whose box is within the squared radius of a point, in the points' order."""
-        who, node, x = np.arange(len(points)), np.zeros(len(points), np.int64), points.astype(float)
-        for _ in range(int(np.log2(len(self.axis) + 1))):
-            who, node = np.repeat(who, 2), np.stack([2 * node + 1, 2 * node + 2], 1).ravel()
-            gap = np.maximum(np.maximum(self.low[node] - x[who], x[who] - self.high[node]), 0)
-            near = (gap * gap).sum(1) <= radius[who]
-            who, node = who[near], node[near]
-        return who, (node - len(self.axis)).astype(np.int32)
+        out = np.zeros(len(points), np.int64)
+        for s in range(0, len(points), 1 << 14):
+            x = points[s : s + (1 << 14)].astype(float)
+            node = np.zeros(len(x), np.int64)
+            for _ in range(int(np.log2(len(self.cut) + 1))):
+                node = 2 * node + 1 + ((x * self.way[node]).sum(1) > self.cut[node])
+            out[s : s + len(x)] = node
+        return (out - len(self.cut)).astype(np.int32)
+
+
+def widest(points: np.ndarray) -> np.ndarray:
+    """The direction of greatest variance, by power iteration over at most 4096 of the points, in whole numbers."""
+    x = points[:: -(-len(points) // 4096)].astype(float)
+    x = x - x.mean(0)
+    v = x[np.abs(x).sum(1).argmax()]
+    for _ in range(12):
+        v = v / max(np.sqrt((v * v).sum()), 1e-9)
+        v = (x @ v) @ x
+    return np.rint(1000 * v / max(np.abs(v).max(), 1e-9))
 
 
 def grow(sample: np.ndarray, leaves: int) -> Tree:
-    """A balanced tree over the sample; points equal to a cut lie on its lower side, which ends there."""
+    """A balanced tree over the sample; points on a cut are on its lower side."""
     inner = leaves - 1
-    axis, cut = np.zeros(inner, np.int64), np.zeros(inner, np.int64)
-    low, high = np.full((inner + leaves, AXES), -np.inf), np.full((inner + leaves, AXES), np.inf)
+    way, cut = np.zeros((inner, AXES), np.float32), np.zeros(inner)
     held = {0: sample}
     for i in range(inner):
         mine = held.pop(i)
+        along = np.zeros(0)
         if len(mine):
-            axis[i] = int(np.ptp(mine, axis=0).argmax())
-            cut[i] = int(np.median(mine[:, axis[i]]))
-        left = mine[:, axis[i]] <= cut[i]
-        for child, part in ((2 * i + 1, mine[left]), (2 * i + 2, mine[~left])):
-            held[child], low[child], high[child] = part, low[i], high[i]
-        high[2 * i + 1, axis[i]] = cut[i]
-        low[2 * i + 2, axis[i]] = cut[i] + 1
-    return Tree(axis, cut, low, high)
-
-
-def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(queries x k) positions and squared distances, by (distance, position); -1 and inf where there are fewer.
-
-    Coordinates are whole numbers, so distances are exact.
-    """
-    m = len(points)
-    at, far = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
-    p = points.astype(float)
-    pp = (p * p).sum(1)
-    take = min(k, m)
-    if take <= 0:
-        return at, far
-    for s in range(0, len(queries), _CHUNK):
-        q = queries[s : s + _CHUNK].astype(float)
-        d = (q * q).sum(1)[:, None] + pp - 2 * (q @ p.T)
-        key = d * m + np.arange(m)
-        best = np.argpartition(key, take - 1, axis=1)[:, :take]
-        best = np.take_along_axis(best, np.take_along_axis(key, best, 1).argsort(1), 1)
-        at[s : s + len(q), :take] = best
-        far[s : s + len(q), :take] = np.take_along_axis(d, best, 1)
-    return at, far
+            way[i] = widest(mine)
+            along = mine.astype(float) @ way[i].astype(float)
+            cut[i] = np.floor(np.median(along))
+        held[2 * i + 1], held[2 * i + 2] = mine[along <= cut[i]], mine[along > cut[i]]
+    return Tree(way, cut)
+
+
+class Closest:
+    """The hits among blocks of points that can be one of the k nearest of each query, by (row, distance, block, position)."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries.astype(np.float32), k
+        self.qq = (self.q * self.q).sum(1)
+        self.far = np.full((len(queries), k), np.inf, np.float32)
+        self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def look(self, rows: np.ndarray, points: np.ndarray, block: int, first: int = 0) -> None:
+        p = points.astype(np.float32)
+        pp = (p * p).sum(1)
+        for s in range(0, len(rows) if len(p) else 0, _CHUNK):
+            row = rows[s : s + _CHUNK]
+            d = self.q[row] @ p.T
+            d *= -2
+            d += self.qq[row, None]
+            d += pp
+            limit = self.far[row, -1]
+            if len(p) >= self.k and not np.isfinite(limit).all():
+                limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+            at = np.flatnonzero(d <= limit[:, None])
+            if not len(at):
+                continue
+            who, where, dist = at // len(p), at % len(p), d.ravel()[at]
+            self.hits.append((row[who], dist, np.full(len(at), block, np.int32), first + where))
+            some, mine = np.unique(who, return_inverse=True)
+            owner, value = np.concatenate([np.repeat(np.arange(len(some)), self.k), mine]), np.concatenate([self.far[row[some]].ravel(), dist])
+            order = np.lexsort((value, owner))
+            begin = np.searchsorted(owner[order], np.arange(len(some)))
+            self.far[row[some]] = value[order][begin[:, None] + np.arange(self.k)]
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        row, d, block, at = (np.concatenate(x) for x in zip(*self.hits)) if self.hits else (np.zeros(0, t) for t in (np.int64, np.float32, np.int32, np.int64))
+        able = d <= self.far[row, -1]
+        return row[able], d[able].astype(np.int64), block[able], at[able]
+
+
+def firsts(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of each distinct point, the distinct one of each point, positions of the k first of every distinct point)."""
+    rows = np.ascontiguousarray(points)
+    first, back = np.unique(rows.view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_index=True, return_inverse=True)[1:]
+    back = back.ravel()
+    order = np.argsort(back, kind="stable")
+    begin = np.searchsorted(back[order], np.arange(len(first)))
+    return first, back, np.sort(order[np.arange(len(order)) - begin[back[order]] < k])
 
 
-def _best(at: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k first of each row by (distance, position)."""
-    order = np.argsort(at, axis=1, kind="stable")
-    at, far = np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
-    order = np.argsort(far, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
+def _ranked(row: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted rows: (n x k) positions of each row's k first, and which there are."""
+    begin, end = np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), "right")
+    at = begin[:, None] + np.arange(k)
+    return at, at < end[:, None]
 
 
 def search(queries: np.ndarray, points: np.ndarray, k: int, leaf: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``nearest`` for any number of points, exactly, and beyond ``bound`` (squared) not at all if given.
+    """(queries x k) positions and squared distances, by (distance, position); -1 and inf where there are fewer, or beyond ``bound`` (squared) if given.
 
-    Equal queries are one.  Of points that are equal only the k first can be among the k nearest of anything.
+    Points are looked at ``leaf`` at a time.  Equal queries are one.  Of points that are equal only the k first can
+    be among the k nearest of anything.
     """
-    points_at = np.unique(points, axis=0, return_inverse=True)[1].ravel()
-    order = np.argsort(points_at, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(points_at[order]) > 0])) if len(order) else order
-    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(order)]])))
-    held = np.sort(order[rank < k])
-    asked, back = np.unique(queries, axis=0, return_inverse=True)
-    back = back.ravel()
-    reach = np.full(len(asked), np.inf)
-    if bound is not None:
-        reach[:] = 0
-        np.maximum.at(reach, back, bound)
-    leaves = 1
-    while leaves * leaf < len(held):
-        leaves *= 2
-    kept = points[held]
-    if leaves == 1:
-        at, far = nearest(asked, kept, k)
-    else:
-        tree = grow(np.unique(kept, axis=0), leaves)
-        inside = tree.leaf(kept)
-        by = np.argsort(inside, kind="stable")
-        first = np.searchsorted(inside[by], np.arange(leaves + 1))
-        at, far = np.full((len(asked), k), -1), np.full((len(asked), k), np.inf)
-
-        def visit(who: np.ndarray, where: np.ndarray) -> None:
-            turn = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[turn], np.arange(leaves + 1))
-            for j in np.flatnonzero(np.diff(edges)):
-                mine, here = who[turn[edges[j] : edges[j + 1]]], by[first[j] : first[j + 1]]
-                a, d = nearest(asked[mine], kept[here], k)
-                a = np.where(a >= 0, here[a] if len(here) else a, -1)
-                at[mine], far[mine] = _best(np.concatenate([at[mine], a], 1), np.concatenate([far[mine], d], 1), k)
-
-        own = tree.leaf(asked)
-        visit(np.arange(len(asked)), own)
-        for s in range(0, len(asked), 1 << 14):
-            part = slice(s, s + (1 << 14))
-            who, where = tree.touched(asked[part], np.minimum(far[part, -1], reach[part]))
-            other = where != own[part][who]
-            visit(who[other] + s, where[other])
-    at = np.where(at >= 0, held[at] if len(held) else at, -1)[back]
-    far = far[back]
+    at, far = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
+    if not len(queries) or not len(points):
+        return at, far
+    first, back, _ = firsts(queries, 1)
+    held = firsts(points, k)[2]
+    near = Closest(queries[first], k)
+    for s in range(0, len(held), leaf):
+        near.look(np.arange(len(first)), points[held[s : s + leaf]], 0, s)
+    row, d, _, where = near.found()
+    order = np.lexsort((where, d, row))
+    pick, ok = _ranked(row[order], len(first), k)
+    pick = order[np.minimum(pick, len(order) - 1)]
+    at, far = np.where(ok, held[where[pick]], -1)[back], np.where(ok, d[pick], np.inf)[back]
     if bound is not None:
         at = np.where(far <= bound[:, None], at, -1)
     return at, far
@@ -262,111 +243,126 @@ def _unpack(column: pa.Array | pa.ChunkedArray, dtype, width: int) -> np.ndarray
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
 
 
-def _lists(at: np.ndarray, values: pa.Array, ok: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values.take(pa.array(at[ok])))
-
-
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _pairs(far: np.ndarray, at: np.ndarray, ids: pa.Array) -> pa.Array:
-    ok = at >= 0
-    offsets = np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)
-    both = pa.StructArray.from_arrays([pa.array(far[ok].astype(np.int64)), ids.take(pa.array(at[ok]))], ["d", "id"])
-    return pa.ListArray.from_arrays(pa.array(offsets), both)
-
-
-def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(placed, near): every document's words, box and coordinates (id, words, leaf, v), and its exact neighbours (id, near)."""
+def boxes(docs: DataFrame, id_col: str, text_col: str, leaf: int, scratch: Scratch) -> DataFrame:
+    """Every document's words, box and profile (id, words, leaf, f)."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType
-    id_field = T.StructField("id", id_type)
+    id_field = T.StructField("id", docs.schema[id_col].dataType)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     found = found.mapInArrow(_profile, T.StructType([id_field, T.StructField("words", T.LongType()), T.StructField("f", T.BinaryType())]))
     profile = scratch.table(found.groupBy("id").agg(F.min(F.struct("words", "f")).alias("r")).select("id", "r.words", "r.f"))
-
-    size = 1 + BUCKETS + BUCKETS * BUCKETS
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            f = _unpack(batch.column(0), np.uint8, BUCKETS).astype(float)
-            total += np.concatenate([[len(f)], f.sum(0), (f.T @ f).ravel()])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
-
-    total = np.zeros(size)
-    for at, v in profile.select("f").mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-        total[at] = v
-    n = int(total[0])
-    axes = principal(max(n, 1), total[1 : 1 + BUCKETS], total[1 + BUCKETS :].reshape(BUCKETS, BUCKETS))
-    leaves = 1
+    n, leaves = profile.count(), 1
     while leaves < MAX_LEAVES and leaves * leaf < n:
         leaves *= 2
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([_pack(axes.place(_unpack(batch.column(0), np.uint8, BUCKETS)))], ["v"])
-
-    sample = np.zeros((0, AXES), np.int32)
+    sample = np.zeros((0, BUCKETS), np.uint8)
     if leaves > 1:
-        some = profile.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("f")
-        sample = _unpack(_flat(some.mapInArrow(project, "v binary").toArrow().column(0)), np.int32, AXES)
-    sent = spark.sparkContext.broadcast((axes, grow(np.unique(sample, axis=0), leaves)))
+        some = profile.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // SAMPLE))) == 0).select("f").distinct().sort("f")
+        sample = _unpack(_flat(some.toArrow().column(0)), np.uint8, BUCKETS)
+    sent = spark.sparkContext.broadcast(grow(sample, leaves))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes, tree = sent.value
         for batch in batches:
-            v = axes.place(_unpack(batch.column(2), np.uint8, BUCKETS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tree.leaf(v)), _pack(v)], ["id", "words", "leaf", "v"])
+            inside = sent.value.leaf(_unpack(batch.column(2), np.uint8, BUCKETS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inside), batch.column(2)], ["id", "words", "leaf", "f"])
 
-    place = T.StructType([id_field, T.StructField("words", T.LongType()), T.StructField("leaf", T.IntegerType()), T.StructField("v", T.BinaryType())])
-    placed = scratch.table(profile.mapInArrow(put, place))
+    placed = scratch.table(profile.mapInArrow(put, T.StructType([id_field, T.StructField("words", T.LongType()), T.StructField("leaf", T.IntegerType()), T.StructField("f", T.BinaryType())])))
     scratch.drop(profile)
-    pair_type = T.ArrayType(T.StructType([T.StructField("d", T.LongType()), id_field]))
+    return placed
+
+
+def neighbours(placed: DataFrame, k: int, probes: int, scratch: Scratch) -> DataFrame:
+    """(id, near): the k nearest of each document by (distance, id), from the probes boxes with the nearest centres."""
+    spark, id_field = placed.sparkSession, placed.schema["id"]
+    folder = scratch.path()
+    folder = folder if "://" in folder else f"file://{folder}"
+    fs, inner = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(inner, recursive=True)
+
+    def write(part: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
 
-    def inside(part: pa.Table) -> pa.Table:
-        tree = sent.value[1]
         part = part.sort_by("id")
-        v, ids = _unpack(part.column("v"), np.int32, AXES), _flat(part.column("id"))
-        at, far = without_self(*search(v, v, k + 1, leaf))
-        own, radius = int(part.column("leaf")[0].as_py()), far[:, -1]
-        counts, probes = [], []
-        for s in range(0, len(v), 1 << 14):
-            who, where = tree.touched(v[s : s + (1 << 14)], radius[s : s + (1 << 14)])
-            who, where = who[where != own], where[where != own]
-            counts.append(np.bincount(who, minlength=min(1 << 14, len(v) - s)))
-            probes.append(where)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(probes)))
-        bound = pa.array(np.where(np.isfinite(radius), radius, 2.0**62).astype(np.int64))
+        f, box = _unpack(part.column("f"), np.uint8, BUCKETS), part.column("leaf")[0].as_py()
+        held = firsts(f, k + 1)[2]  # of documents with equal profiles no more can be among anything's k nearest
+        path = f"{folder}/{box}-{TaskContext.get().taskAttemptId()}"  # an attempt that is lost leaves a file that nobody reads
+        fs, inner = pa.fs.FileSystem.from_uri(path)
+        kept = part.select(["id", "f"]).take(pa.array(held))
+        with fs.open_output_stream(inner) as out, pa.ipc.new_stream(out, kept.schema) as writer:
+            writer.write_table(kept)
         tk.release()
-        return pa.Table.from_arrays([ids, _flat(part.column("v")), bound, lists, _pairs(far, at, ids)], ["id", "v", "bound", "probes", "near"])
+        return pa.Table.from_arrays([pa.array([box], pa.int32()), pa.array([path]), pa.array([f.mean(0).astype(np.float32).tobytes()])], ["leaf", "path", "centre"])
 
-    first_type = T.StructType([id_field, T.StructField("v", T.BinaryType()), T.StructField("bound", T.LongType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("near", pair_type)])
-    first = scratch.table(placed.groupBy("leaf").applyInArrow(inside, first_type))
+    files = sorted(placed.select("id", "leaf", "f").groupBy("leaf").applyInArrow(write, "leaf int, path string, centre binary").collect(), key=lambda r: r.leaf)
+    centres = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in files]).reshape(len(files), BUCKETS)
+    sent = spark.sparkContext.broadcast(([r.leaf for r in files], [r.path for r in files], centres))
 
-    def across(asked: pa.Table, part: pa.Table) -> pa.Table:
+    def match(part: pa.Table) -> pa.Table:
+        leaves, paths, centres = sent.value
         part = part.sort_by("id")
-        q, v = _unpack(asked.column("v"), np.int32, AXES), _unpack(part.column("v"), np.int32, AXES)
-        at, far = search(q, v, k, leaf, asked.column("bound").to_numpy().astype(float))
-        some = np.flatnonzero((at >= 0).any(1))
+        ids, f = _flat(part.column("id")), _unpack(part.column("f"), np.uint8, BUCKETS)
+        own = leaves.index(part.column("leaf")[0].as_py())
+        first, back, _ = firsts(f, 1)
+        near = Closest(f[first], k + 1)
+        away = (centres * centres).sum(1) - 2 * (near.q @ centres.T)
+        away[:, own] = -np.inf
+        take = min(probes, len(paths))
+        chosen = np.argpartition(away, take - 1, axis=1)[:, :take] if take < len(paths) else np.tile(np.arange(take), (len(first), 1))
+        box, who = chosen.ravel(), np.repeat(np.arange(len(first)), take)
+        order = np.argsort(box, kind="stable")
+        box, who = box[order], who[order]
+        touched, begin = np.unique(box, return_index=True)
+        end = np.append(begin[1:], len(box))
+        names: dict[int, pa.Array] = {}
+        for j in np.argsort(away.mean(0)[touched], kind="stable"):  # the nearest first, so that later ones have a narrow limit
+            b = int(touched[j])
+            fs, inner = pa.fs.FileSystem.from_uri(paths[b])
+            with fs.open_input_file(inner) as source, pa.ipc.open_stream(source) as reader:
+                held = reader.read_all()
+            before = len(near.hits)
+            near.look(who[begin[j] : end[j]], _unpack(held.column("f"), np.uint8, BUCKETS), b)
+            if len(near.hits) > before:
+                names[b] = _flat(held.column("id"))
+        row, d, block, at = near.found()
+        turn = np.argsort(block, kind="stable")
+        row, d, block, at = row[turn], d[turn], block[turn], at[turn]
+        named = pa.concat_arrays([names[int(b)].take(pa.array(at[block == b])) for b in np.unique(block)])
+        hits = pa.Table.from_arrays([pa.array(row), pa.array(d), named], ["row", "d", "id"]).sort_by([("row", "ascending"), ("d", "ascending"), ("id", "ascending")])
+        pick, ok = _ranked(hits.column("row").to_numpy(), len(first), k + 1)
+        pick, ok = pick[back], ok[back]
+        hit_ids = _flat(hits.column("id"))
+        flat = hit_ids.take(pa.array(np.minimum(pick, len(hits) - 1).ravel()))
+        mine = pc.equal(flat, ids.take(pa.array(np.repeat(np.arange(len(ids)), k + 1)))).to_numpy(zero_copy_only=False).reshape(ok.shape) & ok
+        ok &= ~mine
+        ok[:, -1] &= mine.any(1)
         tk.release()
-        return pa.Table.from_arrays([_flat(asked.column("id")).take(pa.array(some)), _pairs(far[some], at[some], _flat(part.column("id")))], ["id", "near"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
+        both = pa.StructArray.from_arrays([_flat(hits.column("d")).take(pa.array(pick[ok])), hit_ids.take(pa.array(pick[ok]))], ["d", "id"])
+        return pa.Table.from_arrays([ids, pa.ListArray.from_arrays(offsets, both)], ["id", "near"])
+
+    pair_type = T.ArrayType(T.StructType([T.StructField("d", T.LongType()), id_field]))
+    return placed.select("id", "leaf", "f").groupBy("leaf").applyInArrow(match, T.StructType([id_field, T.StructField("near", pair_type)]))
+
+
+def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratch: Scratch, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
+    """(placed, near): every document's words, box and profile in whole numbers (id, words, leaf, v), and its neighbours (id, near)."""
+    placed = boxes(docs, id_col, text_col, leaf, scratch)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _pack(_unpack(batch.column(3), np.uint8, BUCKETS).astype(np.int32))], ["id", "words", "leaf", "v"])
 
-    near_type = T.StructType([id_field, T.StructField("near", pair_type)])
-    asked = first.select("id", "v", "bound", F.explode("probes").alias("leaf"))
-    more = asked.groupBy("leaf").cogroup(placed.select("id", "v", "leaf").groupBy("leaf")).applyInArrow(across, near_type)
-    merged = first.select("id", "near").unionByName(more).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return placed, merged
+    wide = T.StructType([*placed.schema.fields[:3], T.StructField("v", T.BinaryType())])
+    return placed.mapInArrow(widen, wide), neighbours(placed, k, probes, scratch)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, leaf: int = LEAF, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """(window_id, slot, doc_id, path_id, word_start, word_end): which words of which document fill each window, in order."""
     scratch = scratch or Scratch(docs.sparkSession)
-    placed, near = graph(docs, id_col, text_col, k, leaf, scratch)
+    placed = boxes(docs, id_col, text_col, leaf, scratch)
+    near = neighbours(placed, k, PROBES, scratch)
     laid = placed.select("id", "words", "leaf").join(near, "id")
 
     def lay(part: pa.Table) -> pa.Table:

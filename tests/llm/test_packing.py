@@ -57,6 +57,20 @@ def test_search_equals_brute_force_with_copies_and_bounds():
     assert (at == -1).all() and at.shape == (3, 5)
 
 
+def test_neighbours_are_those_of_the_whole_profiles_when_there_are_more_boxes_than_probes(spark, make):
+    rows = corpus(1500, 3)
+    profile = p.features(pa.array([t for _, t in rows]))[1].astype(np.int64)
+    placed, near = p.graph(make(rows).repartition(3), "doc_id", "text", p.NEIGHBOURS, 16, Scratch(spark))
+    assert placed.select("leaf").distinct().count() > p.PROBES
+    right = 0
+    for r in near.collect():
+        d = ((profile - profile[r.id]) ** 2).sum(1)
+        assert [e.d for e in r.near] == [d[e.id] for e in r.near]
+        d[r.id] = d.max() + 1
+        right += sum(e.d <= np.sort(d)[p.NEIGHBOURS - 1] for e in r.near)
+    assert right >= 0.9 * p.NEIGHBOURS * len(rows)
+
+
 def brute_walk(near, far):
     n = len(near)
     edge = {}
