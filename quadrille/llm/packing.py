@@ -11,10 +11,13 @@ the measured recall).  The tree is built from a bounded sample, about ``SAMPLE``
 ``MAX_LEAVES`` boxes.  Documents with equal profiles are searched once, so many copies don't make the search
 quadratic.
 
-Paths and windows.  In each box, in parallel, over the graph's edges with both ends there: start at the
-unvisited document of lowest degree, step to the nearest unvisited neighbour, and at a dead end start again
-(Shi et al. 2023).  The paths of a box are laid one after the other and cut into windows of ``WINDOW`` words;
-a document across a border continues in the next window, so only a box's last window is not full.
+Paths and windows.  Edges are taken from the whole graph, wherever the boxes' borders are: first those of the
+documents of lowest degree (Shi et al. 2023), of these the nearest.  An edge joins two paths if each of its documents
+is still an end of a path, and not of the same one.  This is done in parallel rounds, in which a path is joined by an
+edge that comes first among all those left at the ends of both; the last ``REST`` edges are done one by one.  Both give
+what taking all edges one by one gives.  Paths are dealt by hash into groups of about ``LEAF`` documents; those of
+a group are laid one after the other and cut into windows of ``WINDOW`` words; a document across a border continues in
+the next window, so only a group's last window is not full.  A group with its whole paths is one task's.
 
 Cases.  Texts that are null, empty or without a word fill no window, and rows with a null id can't be named:
 both are left out.  Rows that repeat an id are one document (of several texts, the one with fewest words).
@@ -39,7 +42,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import Scratch
 
-BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 2048
+BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, REST, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 1 << 18, 2048
 AXES = BUCKETS
 _CHUNK = 512
 
@@ -358,24 +361,97 @@ def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratc
     return placed.mapInArrow(widen, wide), neighbours(placed, k, probes, scratch)
 
 
+def one_by_one(part: pa.Table) -> pa.Table:
+    """The edges that are taken of (g, d, u, v, fu, fv, su, sv), with the paths' names at that time."""
+    part = part.sort_by([(c, "ascending") for c in "gduv"])
+    name: dict = {}
+
+    def path_of(x):
+        while x in name:
+            name[x] = x = name.get(name[x], name[x])
+        return x
+
+    used: dict = {}
+    u, v, fu, fv, su, sv = (part.column(c).to_pylist() for c in ("u", "v", "fu", "fv", "su", "sv"))
+    taken, first, second = [], [], []
+    for i in range(len(u)):
+        a, b = used.setdefault(u[i], 1 + su[i]), used.setdefault(v[i], 1 + sv[i])
+        if a > 2 or b > 2 or (x := path_of(fu[i])) == (y := path_of(fv[i])):
+            continue
+        used[u[i]], used[v[i]] = a + 1, b + 1
+        name[max(x, y)] = min(x, y)
+        taken.append(i)
+        first.append(x)
+        second.append(y)
+    kept = part.select(["u", "v"]).take(pa.array(taken, pa.int64()))
+    kind = part.schema.field("u").type
+    return pa.Table.from_arrays([*kept.columns, pa.array(first, kind), pa.array(second, kind)], ["u", "v", "fu", "fv"])
+
+
+def joined(near: DataFrame, scratch: Scratch, rest: int = REST) -> tuple[DataFrame, DataFrame]:
+    """(links, names): each document's one or two neighbours on its path (id, links), and the path of each document that isn't its path's name (id, path)."""
+    id_type = near.schema["id"].dataType
+    edges = near.select("id", F.explode("near").alias("e")).select(F.least("id", "e.id").alias("u"), F.greatest("id", "e.id").alias("v"), "e.d").distinct()
+    edges = scratch.table(edges)
+    degree = edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    live = edges.join(degree.toDF("u", "nu"), "u").join(degree.toDF("v", "nv"), "v")
+    live = scratch.table(live.select(F.least("nu", "nv").alias("g"), "d", "u", "v", F.col("u").alias("fu"), F.col("v").alias("fv"), F.lit(False).alias("su"), F.lit(False).alias("sv")))
+    scratch.drop(edges)
+    taken = []
+    while (left := live.count()) > rest:
+        edge = F.struct("g", "d", "u", "v", "fu", "fv", "su", "sv")
+        best = live.select(F.explode(F.array("fu", "fv")).alias("f"), edge.alias("e")).groupBy("f").agg(F.min("e").alias("e"))
+        won = scratch.table(best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.*"))
+        taken.append(won.select("u", "v", "fu", "fv"))
+        new = F.least("fu", "fv")
+        moved = won.select(F.explode(F.array(*(F.struct(F.col(f"f{x}").alias("f"), F.col(x).alias("x"), new.alias("new")) for x in "uv"))).alias("m")).select("m.*")
+        after = live
+        for x in "uv":
+            m = moved.toDF("__f", "__x", "__new")
+            hit = F.col("__x").eqNullSafe(F.col(x))
+            after = after.join(m, F.col(f"f{x}") == F.col("__f"), "left").where(~(hit & F.col(f"s{x}")))
+            after = after.withColumns({f"f{x}": F.coalesce("__new", f"f{x}"), f"s{x}": F.col(f"s{x}") | hit}).drop("__f", "__x", "__new")
+        before, live = live, scratch.table(after.where("fu <> fv"))
+        scratch.drop(before)
+    four = T.StructType([T.StructField(c, id_type) for c in ("u", "v", "fu", "fv")])
+    if left:
+        taken.append(scratch.table(live.groupBy(F.lit(True)).applyInArrow(one_by_one, four)))
+    every = near.sparkSession.createDataFrame([], four)
+    for t in taken:
+        every = every.unionByName(t)
+    every = scratch.table(every)
+    scratch.drop(live)
+    names = every.select(F.greatest("fu", "fv").alias("id"), F.least("fu", "fv").alias("path"))
+    while True:  # a name's name, until none has one: rounds grow with the logarithm of the longest chain
+        names = scratch.table(names)
+        further = names.join(names.toDF("path", "next"), "path", "left")
+        if not further.where("next is not null").limit(1).count():
+            break
+        names = further.select("id", F.coalesce("next", "path").alias("path"))
+    both = every.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("to")), F.struct(F.col("v").alias("id"), F.col("u").alias("to")))).alias("l")).select("l.*")
+    return both.groupBy("id").agg(F.collect_list("to").alias("links")), names
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, leaf: int = LEAF, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """(window_id, slot, doc_id, path_id, word_start, word_end): which words of which document fill each window, in order."""
     scratch = scratch or Scratch(docs.sparkSession)
     placed = boxes(docs, id_col, text_col, leaf, scratch)
-    near = neighbours(placed, k, PROBES, scratch)
-    laid = placed.select("id", "words", "leaf").join(near, "id")
+    links, names = joined(neighbours(placed, k, PROBES, scratch), scratch)
+    groups = max(1, -(-placed.count() // LEAF))
+    laid = placed.select("id", "words").join(names, "id", "left").join(links, "id", "left")
+    laid = laid.select("id", "words", "links", F.pmod(F.xxhash64(F.coalesce("path", "id")), F.lit(groups)).alias("group"))
 
     def lay(part: pa.Table) -> pa.Table:
         part = part.sort_by("id")
         ids = part.column("id").to_pylist()
         position = {x: i for i, x in enumerate(ids)}
-        edges = [[(position[e["id"]], e["d"]) for e in row if e["id"] in position] for row in part.column("near").to_pylist()]
-        paths = walk([[j for j, _ in e] for e in edges], [[d for _, d in e] for e in edges])
+        edges = [[position[x] for x in row or ()] for row in part.column("links").to_pylist()]
+        paths = walk(edges, [[0] * len(e) for e in edges])
         order = np.concatenate([np.asarray(p) for p in paths])
         path = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
         item, win, a, b = fill(part.column("words").to_numpy()[order], window)
         slot = np.arange(len(win)) - np.searchsorted(win, win)
-        base = int(part.column("leaf")[0].as_py()) << 32
+        base = int(part.column("group")[0].as_py()) << 32
         columns = [pa.array(base + win), pa.array(slot.astype(np.int32)), _flat(part.column("id")).take(pa.array(order[item])), pa.array(base + path[item]), pa.array(a), pa.array(b)]
         return pa.Table.from_arrays(columns, ["window_id", "slot", "doc_id", "path_id", "word_start", "word_end"])
 
@@ -383,7 +459,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         [T.StructField("window_id", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("doc_id", docs.schema[id_col].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("path_id", "word_start", "word_end")]
     )
-    return laid.groupBy("leaf").applyInArrow(lay, schema)
+    return laid.groupBy("group").applyInArrow(lay, schema)
 
 
 def assemble(plan: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,6 +100,38 @@ def test_walk_equals_brute_force():
         assert p.walk(near, far) == brute_walk(near, far)
 
 
+def brute_joined(near):
+    edges = {(min(i, j), max(i, j)): d for i, js in near.items() for d, j in js}
+    degree = defaultdict(int)
+    for e in edges:
+        for x in e:
+            degree[x] += 1
+    path, used, taken = {i: {i} for i in near}, defaultdict(int), set()
+    for u, v in sorted(edges, key=lambda e: (min(degree[e[0]], degree[e[1]]), edges[e], e)):
+        if used[u] < 2 and used[v] < 2 and path[u] is not path[v]:
+            used[u], used[v] = used[u] + 1, used[v] + 1
+            taken.add((u, v))
+            path[u] |= path[v]
+            for x in path[v]:
+                path[x] = path[u]
+    return taken, {i: min(p) for i, p in path.items()}
+
+
+def test_paths_are_those_of_the_whole_graph_in_rounds_or_one_by_one(spark, make):
+    near = p.graph(make(corpus(150)), "doc_id", "text", p.NEIGHBOURS, 20, Scratch(spark))[1].localCheckpoint()
+    taken, path = brute_joined({r.id: [(e.d, e.id) for e in r.near] for r in near.collect()})
+    for rest in (0, 200, p.REST):
+        links, names = p.joined(near, Scratch(spark), rest)
+        assert {(min(r.id, x), max(r.id, x)) for r in links.collect() for x in r.links} == taken
+        assert {i: i for i in path} | {r.id: r.path for r in names.collect()} == path
+
+
+def test_windows_do_not_depend_on_the_boxes(make):
+    docs = make(corpus())
+    plans = [sorted(map(tuple, p.pack(docs, window=64, leaf=leaf).collect())) for leaf in (1000, 40)]
+    assert plans[0] == plans[1]
+
+
 def test_windows_hold_every_word_once_and_are_full(make):
     rows = corpus()
     plan = p.pack(make(rows), window=64, leaf=100).collect()
