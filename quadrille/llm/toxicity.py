@@ -9,8 +9,9 @@ divided by its number of predicted bytes and ``PRIOR`` more, which speak for nei
 in a text of a few words from deciding.
 
 A fifth of the labelled documents, by a hash of the id, isn't counted in the classes; the threshold with the
-best F1 on these decides.  The driver and the workers hold one row for each labelled n-gram: if there are more
-than ``MAX_GRAMS``, the rarest, by their share of either class, fall to the shared backoff until they fit.
+best F1 on these decides.  Every labelled n-gram is kept: executors write the class models to sorted files in the
+shared folder, of about ``MAX_GRAMS`` n-grams each, which the workers map into memory; the driver holds a line for
+each file.
 
 Cases.  Null and empty texts, and texts without a word, score 0 and aren't flagged.  Null labels and null ids
 aren't used for training; rows with a null id are scored.  Rows that repeat an id are each scored.  When one
@@ -25,12 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
 from .common import Scratch, broadcast_if_small
+from .urlfilter import _buffer
 
 ORDER, PRIOR, HOLD_OUT, MAX_GRAMS, GRID, CHUNK = 5, 100, 5, 4_000_000, 2000, 8 << 20
 _START, _END = 1, 2
@@ -169,15 +172,37 @@ class Model:
         return np.concatenate(out)
 
 
-def model_of(codes: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> Model:
-    """codes, counts: the labelled grams with (ordinary, toxic) counts; lower: the shared probability of each."""
+@dataclass(frozen=True)
+class Files(Model):
+    """A model in files (path, lowest context) in ascending order; no context is in two of them."""
+
+    files: tuple[tuple[str, int], ...] = ()
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        if self.files not in _opened:
+            _opened.clear()  # one model at a time
+            _opened[self.files] = [Model(*(np.frombuffer(_buffer(f"{path}.{c}"), t) for c, t in _ARRAYS)) for path, _ in self.files]
+        out = np.zeros(len(grams), np.float32)
+        part = np.searchsorted(np.array([low for _, low in self.files]), grams >> 8, "right") - 1
+        for p in np.unique(part[part >= 0]):
+            mine = np.flatnonzero(part == p)
+            out[mine] = _opened[self.files][p].of(grams[mine])
+        return out
+
+
+_ARRAYS = (("codes", np.int64), ("ratio", np.float32), ("contexts", np.int64), ("weight", np.float32))
+_opened: dict[tuple, list[Model]] = {}
+
+
+def model_of(codes: np.ndarray, counts: np.ndarray, lower: np.ndarray, discounts: tuple[float, float] | None = None) -> Model:
+    """codes, counts: the labelled grams with (ordinary, toxic) counts; lower: the shared probability of each; discounts: those of all grams, if these aren't all."""
     order = np.argsort(codes)
     codes, counts, lower = codes[order], counts[order].astype(float), lower[order]
     contexts, at = np.unique(codes >> 8, return_inverse=True)
     logs, weights = [], []
     for k in range(2):
         n = counts[:, k]
-        d = discount(n)
+        d = discounts[k] if discounts else discount(n)
         total, types = np.bincount(at, n, len(contexts)), np.bincount(at, n > 0, len(contexts))
         weight = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.maximum(n - d, 0) / np.maximum(total[at], 1) + weight[at] * lower))
@@ -190,20 +215,38 @@ def fit(texts: DataFrame, scratch: Scratch, max_grams: int = MAX_GRAMS) -> Model
     schema = "code bigint, ordinary bigint, toxic bigint, every bigint"
     counted = texts.mapInArrow(_count, schema).groupBy("code").agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic", "every")))
     counted = scratch.table(counted)
-    n, ordinary, toxic = counted.where("ordinary + toxic > 0").agg(F.count("*"), F.sum("ordinary"), F.sum("toxic")).first()
+    kept = counted.where("ordinary + toxic > 0")
+    n, ordinary, toxic, *seen = kept.agg(F.count("*"), F.sum("ordinary"), F.sum("toxic"), *(F.count_if(F.col(c) == i) for c in ("ordinary", "toxic") for i in (1, 2))).first()
     if not ordinary or not toxic:
         return None
-    kept, least = counted.where("ordinary + toxic > 0"), 1
-    while n > max_grams:
-        least *= 2
-        kept = counted.where(F.col("ordinary") + F.col("toxic") * (ordinary / toxic) >= least)
-        n = kept.count()
+    discounts = tuple(one / (one + 2 * two) if one and two else 0.5 for one, two in (seen[:2], seen[2:]))
     suffix = F.col("code").bitwiseAND(F.lit(_mask(ORDER - 1)))
     shared = backoff(counted.groupBy(suffix.alias("code")).agg(F.count("*").alias("n")), scratch)
-    grams = kept.select("code", "ordinary", "toxic", suffix.alias("suffix")).join(shared.select(F.col("code").alias("suffix"), "p"), "suffix").toArrow()
+    grams = kept.select("code", "ordinary", "toxic", suffix.alias("suffix")).join(shared.select(F.col("code").alias("suffix"), "p"), "suffix")
+    folder = scratch.path()
+    folder = folder if "://" in folder else f"file://{folder}"
+    fs, inner = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(inner, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not sum(len(p[0]) for p in parts):
+            return
+        code, a, b, lower = (np.concatenate(c) for c in zip(*parts))
+        made = model_of(code, np.stack([a, b], 1), lower, discounts)
+        path = f"{folder}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"  # an attempt that is lost leaves files that nobody reads
+        fs, inner = pa.fs.FileSystem.from_uri(path)
+        for c, t in _ARRAYS:
+            with fs.open_output_stream(f"{inner}.{c}") as f:
+                f.write(getattr(made, c).astype(t).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(made.contexts[0])])], ["path", "low"])
+
+    ranged = grams.select("code", "ordinary", "toxic", "p").repartitionByRange(-(-n // max_grams), F.shiftright("code", 8))
+    files = ranged.mapInArrow(write, "path string, low bigint").collect()
     scratch.drop(counted)
-    code, a, b, lower = (grams.column(c).to_numpy() for c in ("code", "ordinary", "toxic", "p"))
-    return model_of(code, np.stack([a, b], 1), lower)
+    return Files(None, None, None, None, tuple(sorted(((r.path, r.low) for r in files), key=lambda r: r[1])))
 
 
 def best_threshold(bins: list[tuple[int, int, int]]) -> int | None:

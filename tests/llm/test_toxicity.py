@@ -79,6 +79,15 @@ def test_scores_equal_the_models_written_out(spark, make):
     np.testing.assert_allclose(model.score(pa.array(texts)), want, atol=1e-6)
 
 
+def test_every_labelled_gram_is_kept_whatever_the_limit(spark, make):
+    rows, bad = corpus(60)
+    docs = make([(t, int(b)) for (_, t), b in zip(rows, bad)], "text string, kind int")
+    texts = pa.array([t for _, t in rows] + ["grubling unseen"])
+    whole, parts = (x.fit(docs, Scratch(spark), limit) for limit in (x.MAX_GRAMS, 20))
+    assert len(whole.files) == 1 and len(parts.files) > 2
+    np.testing.assert_allclose(parts.score(texts), whole.score(texts), atol=1e-6)
+
+
 def test_shared_backoff_sums_to_one_over_the_seen(spark, make):
     codes = np.unique(np.concatenate([x.word_grams(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in CALM]))
     short, n = np.unique(codes & ((1 << 8 * (x.ORDER - 1)) - 1), return_counts=True)
