@@ -1,23 +1,25 @@
 """Related-document packing: a nearest-neighbour graph, greedy low-degree-first paths, windows along the paths.
 
 Vectors.  Words of the whole text are hashed to ``BUCKETS`` counts, square-rooted, normalised and rounded to
-bytes.  Distances are between these whole profiles; as they are whole numbers, distances are exact.
-
-Graph.  Profiles are cut into boxes of about ``LEAF`` documents by a tree whose cuts lie across the widest
-direction of each part.  The boxes are files in the shared folder.  Every document looks for its ``NEIGHBOURS``
-nearest in its own box and in those with the nearest centres, ``PROBES`` in all, ties going to the smaller id.
-Up to ``PROBES`` boxes the graph is exact; beyond, a neighbour in a box that isn't looked at is missed (README has
-the measured recall).  The tree is built from a bounded sample, about ``SAMPLE`` rows, and has at most
-``MAX_LEAVES`` boxes.  Documents with equal profiles are searched once, so many copies don't make the search
-quadratic.
-
-Paths and windows.  Edges are taken from the whole graph, wherever the boxes' borders are: first those of the
-documents of lowest degree (Shi et al. 2023), of these the nearest.  An edge joins two paths if each of its documents
-is still an end of a path, and not of the same one.  This is done in parallel rounds, in which a path is joined by an
-edge that comes first among all those left at the ends of both; the last ``REST`` edges are done one by one.  Both give
-what taking all edges one by one gives.  Paths are dealt by hash into groups of about ``LEAF`` documents; those of
-a group are laid one after the other and cut into windows of ``WINDOW`` words; a document across a border continues in
-the next window, so only a group's last window is not full.  A group with its whole paths is one task's.
+bytes.  Distances are between these whole profiles; as they are whole numbers, distances are exact.  Documents of
+equal profiles are one node of the graph, however many they are, and stand side by side on its path.
+
+Graph.  Nodes are cut into boxes of about ``LEAF`` by a tree whose cuts lie across the widest direction of each
+part.  The boxes are files in the shared folder.  Every node looks for its ``NEIGHBOURS`` nearest in its own box
+and in those with the nearest centres, ``PROBES`` in all, ties going to the smaller id.  Up to ``PROBES`` boxes the
+graph is exact; beyond, a neighbour in a box that isn't looked at is missed (README has the measured recall).  The
+tree is built from a bounded sample, about ``SAMPLE`` rows, and has at most ``MAX_LEAVES`` boxes.
+
+Paths.  Edges are taken from the whole graph, wherever the boxes' borders are: first those of the nodes of lowest
+degree (Shi et al. 2023), of these the nearest.  An edge joins two paths if each of its nodes is still an end of a
+path, and not of the same one.  Regions of neighbouring boxes, about ``EDGES`` edges each, settle in order all edges
+for which nothing that comes first is open; an edge across a border waits, with what depends on it, until it comes
+first at both its ends.  As edges are settled, regions grow.  The result is that of taking all edges one by one.
+Regions then number the nodes of their stretches of the paths, and stretches find their places by pointer jumping.
+
+Windows.  Documents are sorted by path and place, in ranges of about ``RANGE``, and laid one after the other; sums over
+the ranges tell where each begins.  Windows of ``WINDOW`` words are cut along the whole of it; a document across a
+border continues in the next window, so only the last window isn't full.  No path, node or box has to fit a task.
 
 Cases.  Texts that are null, empty or without a word fill no window, and rows with a null id can't be named:
 both are left out.  Rows that repeat an id are one document (of several texts, the one with fewest words).
@@ -27,7 +29,6 @@ read.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 
-BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, REST, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 1 << 18, 2048
+BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, EDGES, RANGE, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 1 << 18, 1 << 16, 2048
 AXES = BUCKETS
 _CHUNK = 512
 
@@ -112,25 +113,25 @@ class Closest:
     def __init__(self, queries: np.ndarray, k: int):
         self.q, self.k = queries.astype(np.float32), k
         self.qq = (self.q * self.q).sum(1)
+        self.ahead = np.column_stack([-2 * self.q, np.ones(len(queries), np.float32)])  # times (point, its square): the distance less qq, in whole numbers below 2^24
         self.far = np.full((len(queries), k), np.inf, np.float32)
         self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def look(self, rows: np.ndarray, points: np.ndarray, block: int, first: int = 0) -> None:
         p = points.astype(np.float32)
-        pp = (p * p).sum(1)
-        for s in range(0, len(rows) if len(p) else 0, _CHUNK):
+        p = np.column_stack([p, (p * p).sum(1)]).T
+        n = p.shape[1]
+        for s in range(0, len(rows) if n else 0, _CHUNK):
             row = rows[s : s + _CHUNK]
-            d = self.q[row] @ p.T
-            d *= -2
-            d += self.qq[row, None]
-            d += pp
-            limit = self.far[row, -1]
-            if len(p) >= self.k and not np.isfinite(limit).all():
+            d = self.ahead[row] @ p
+            limit = self.far[row, -1] - self.qq[row]
+            if n >= self.k and not np.isfinite(limit).all():
                 limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
             at = np.flatnonzero(d <= limit[:, None])
             if not len(at):
                 continue
-            who, where, dist = at // len(p), at % len(p), d.ravel()[at]
+            who, where = at // n, at % n
+            dist = d.ravel()[at] + self.qq[row[who]]
             self.hits.append((row[who], dist, np.full(len(at), block, np.int32), first + where))
             some, mine = np.unique(who, return_inverse=True)
             owner, value = np.concatenate([np.repeat(np.arange(len(some)), self.k), mine]), np.concatenate([self.far[row[some]].ravel(), dist])
@@ -144,16 +145,6 @@ class Closest:
         return row[able], d[able].astype(np.int64), block[able], at[able]
 
 
-def firsts(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first of each distinct point, the distinct one of each point, positions of the k first of every distinct point)."""
-    rows = np.ascontiguousarray(points)
-    first, back = np.unique(rows.view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_index=True, return_inverse=True)[1:]
-    back = back.ravel()
-    order = np.argsort(back, kind="stable")
-    begin = np.searchsorted(back[order], np.arange(len(first)))
-    return first, back, np.sort(order[np.arange(len(order)) - begin[back[order]] < k])
-
-
 def _ranked(row: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted rows: (n x k) positions of each row's k first, and which there are."""
     begin, end = np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), "right")
@@ -161,61 +152,6 @@ def _ranked(row: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, at < end[:, None]
 
 
-def search(queries: np.ndarray, points: np.ndarray, k: int, leaf: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(queries x k) positions and squared distances, by (distance, position); -1 and inf where there are fewer, or beyond ``bound`` (squared) if given.
-
-    Points are looked at ``leaf`` at a time.  Equal queries are one.  Of points that are equal only the k first can
-    be among the k nearest of anything.
-    """
-    at, far = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
-    if not len(queries) or not len(points):
-        return at, far
-    first, back, _ = firsts(queries, 1)
-    held = firsts(points, k)[2]
-    near = Closest(queries[first], k)
-    for s in range(0, len(held), leaf):
-        near.look(np.arange(len(first)), points[held[s : s + leaf]], 0, s)
-    row, d, _, where = near.found()
-    order = np.lexsort((where, d, row))
-    pick, ok = _ranked(row[order], len(first), k)
-    pick = order[np.minimum(pick, len(order) - 1)]
-    at, far = np.where(ok, held[where[pick]], -1)[back], np.where(ok, d[pick], np.inf)[back]
-    if bound is not None:
-        at = np.where(far <= bound[:, None], at, -1)
-    return at, far
-
-
-def without_self(at: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of row i's k + 1 nearest, the k first that aren't i."""
-    own = at == np.arange(len(at))[:, None]
-    own[~own.any(1), -1] = True
-    return at[~own].reshape(len(at), -1), far[~own].reshape(len(at), -1)
-
-
-def walk(near: list[list[int]], far: list[list[int]]) -> list[list[int]]:
-    """Paths over documents 0..n-1, which are in id order, with directed edges near (distances far)."""
-    both: list[dict[int, int]] = [{} for _ in near]
-    for i, (js, ds) in enumerate(zip(near, far)):
-        for j, d in zip(js, ds):
-            both[i][j] = both[j][i] = d
-    ahead = [sorted((d, j) for j, d in x.items()) for x in both]
-    heap = [(len(x), i) for i, x in enumerate(ahead)]
-    heapq.heapify(heap)
-    seen, paths = [False] * len(near), []
-    while heap:
-        _, i = heapq.heappop(heap)
-        if seen[i]:
-            continue
-        path: list[int] = []
-        here: int | None = i
-        while here is not None:
-            seen[here] = True
-            path.append(here)
-            here = next((j for _, j in ahead[here] if not seen[j]), None)
-        paths.append(path)
-    return paths
-
-
 def fill(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans (item, window, first word, end word) of items laid one after the other."""
     end = np.cumsum(words)
@@ -250,35 +186,34 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def boxes(docs: DataFrame, id_col: str, text_col: str, leaf: int, scratch: Scratch) -> DataFrame:
-    """Every document's words, box and profile (id, words, leaf, f)."""
+def boxes(docs: DataFrame, id_col: str, text_col: str, leaf: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(every document's words and profile (id, words, f), the nodes with their box (id, f, leaf), the number of boxes)."""
     spark = docs.sparkSession
     id_field = T.StructField("id", docs.schema[id_col].dataType)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     found = found.mapInArrow(_profile, T.StructType([id_field, T.StructField("words", T.LongType()), T.StructField("f", T.BinaryType())]))
     profile = scratch.table(found.groupBy("id").agg(F.min(F.struct("words", "f")).alias("r")).select("id", "r.words", "r.f"))
-    n, leaves = profile.count(), 1
+    nodes = scratch.table(profile.groupBy("f").agg(F.min("id").alias("id")).select("id", "f"))
+    n, leaves = nodes.count(), 1
     while leaves < MAX_LEAVES and leaves * leaf < n:
         leaves *= 2
     sample = np.zeros((0, BUCKETS), np.uint8)
     if leaves > 1:
-        some = profile.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // SAMPLE))) == 0).select("f").distinct().sort("f")
+        some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // SAMPLE))) == 0).select("f").sort("f")
         sample = _unpack(_flat(some.toArrow().column(0)), np.uint8, BUCKETS)
     sent = spark.sparkContext.broadcast(grow(sample, leaves))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inside = sent.value.leaf(_unpack(batch.column(2), np.uint8, BUCKETS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inside), batch.column(2)], ["id", "words", "leaf", "f"])
+            inside = sent.value.leaf(_unpack(batch.column(1), np.uint8, BUCKETS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside)], ["id", "f", "leaf"])
 
-    placed = scratch.table(profile.mapInArrow(put, T.StructType([id_field, T.StructField("words", T.LongType()), T.StructField("leaf", T.IntegerType()), T.StructField("f", T.BinaryType())])))
-    scratch.drop(profile)
-    return placed
+    return profile, nodes.mapInArrow(put, T.StructType([id_field, T.StructField("f", T.BinaryType()), T.StructField("leaf", T.IntegerType())])), leaves
 
 
-def neighbours(placed: DataFrame, k: int, probes: int, scratch: Scratch) -> DataFrame:
-    """(id, near): the k nearest of each document by (distance, id), from the probes boxes with the nearest centres."""
-    spark, id_field = placed.sparkSession, placed.schema["id"]
+def neighbours(nodes: DataFrame, k: int, probes: int, scratch: Scratch) -> DataFrame:
+    """(id, leaf, near): the k nearest of each node by (distance, id), from the probes boxes with the nearest centres."""
+    spark, id_field = nodes.sparkSession, nodes.schema["id"]
     folder = scratch.path()
     folder = folder if "://" in folder else f"file://{folder}"
     fs, inner = pa.fs.FileSystem.from_uri(folder)
@@ -287,179 +222,309 @@ def neighbours(placed: DataFrame, k: int, probes: int, scratch: Scratch) -> Data
     def write(part: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        part = part.sort_by("id")
         f, box = _unpack(part.column("f"), np.uint8, BUCKETS), part.column("leaf")[0].as_py()
-        held = firsts(f, k + 1)[2]  # of documents with equal profiles no more can be among anything's k nearest
         path = f"{folder}/{box}-{TaskContext.get().taskAttemptId()}"  # an attempt that is lost leaves a file that nobody reads
         fs, inner = pa.fs.FileSystem.from_uri(path)
-        kept = part.select(["id", "f"]).take(pa.array(held))
+        kept = part.select(["id", "f"])
         with fs.open_output_stream(inner) as out, pa.ipc.new_stream(out, kept.schema) as writer:
             writer.write_table(kept)
         tk.release()
         return pa.Table.from_arrays([pa.array([box], pa.int32()), pa.array([path]), pa.array([f.mean(0).astype(np.float32).tobytes()])], ["leaf", "path", "centre"])
 
-    files = sorted(placed.select("id", "leaf", "f").groupBy("leaf").applyInArrow(write, "leaf int, path string, centre binary").collect(), key=lambda r: r.leaf)
+    files = sorted(nodes.groupBy("leaf").applyInArrow(write, "leaf int, path string, centre binary").collect(), key=lambda r: r.leaf)
     centres = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in files]).reshape(len(files), BUCKETS)
     sent = spark.sparkContext.broadcast(([r.leaf for r in files], [r.path for r in files], centres))
 
-    def match(part: pa.Table) -> pa.Table:
+    def held(path: str) -> tuple[pa.Array, np.ndarray]:
+        fs, inner = pa.fs.FileSystem.from_uri(path)
+        with fs.open_input_file(inner) as source, pa.ipc.open_stream(source) as reader:
+            table = reader.read_all()
+        return _flat(table.column("id")), _unpack(table.column("f"), np.uint8, BUCKETS)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves, paths, centres = sent.value
-        part = part.sort_by("id")
-        ids, f = _flat(part.column("id")), _unpack(part.column("f"), np.uint8, BUCKETS)
-        own = leaves.index(part.column("leaf")[0].as_py())
-        first, back, _ = firsts(f, 1)
-        near = Closest(f[first], k + 1)
-        away = (centres * centres).sum(1) - 2 * (near.q @ centres.T)
-        away[:, own] = -np.inf
-        take = min(probes, len(paths))
-        chosen = np.argpartition(away, take - 1, axis=1)[:, :take] if take < len(paths) else np.tile(np.arange(take), (len(first), 1))
-        box, who = chosen.ravel(), np.repeat(np.arange(len(first)), take)
-        order = np.argsort(box, kind="stable")
-        box, who = box[order], who[order]
-        touched, begin = np.unique(box, return_index=True)
-        end = np.append(begin[1:], len(box))
-        names: dict[int, pa.Array] = {}
-        for j in np.argsort(away.mean(0)[touched], kind="stable"):  # the nearest first, so that later ones have a narrow limit
-            b = int(touched[j])
-            fs, inner = pa.fs.FileSystem.from_uri(paths[b])
-            with fs.open_input_file(inner) as source, pa.ipc.open_stream(source) as reader:
-                held = reader.read_all()
-            before = len(near.hits)
-            near.look(who[begin[j] : end[j]], _unpack(held.column("f"), np.uint8, BUCKETS), b)
-            if len(near.hits) > before:
-                names[b] = _flat(held.column("id"))
-        row, d, block, at = near.found()
-        turn = np.argsort(block, kind="stable")
-        row, d, block, at = row[turn], d[turn], block[turn], at[turn]
-        named = pa.concat_arrays([names[int(b)].take(pa.array(at[block == b])) for b in np.unique(block)])
-        hits = pa.Table.from_arrays([pa.array(row), pa.array(d), named], ["row", "d", "id"]).sort_by([("row", "ascending"), ("d", "ascending"), ("id", "ascending")])
-        pick, ok = _ranked(hits.column("row").to_numpy(), len(first), k + 1)
-        pick, ok = pick[back], ok[back]
-        hit_ids = _flat(hits.column("id"))
-        flat = hit_ids.take(pa.array(np.minimum(pick, len(hits) - 1).ravel()))
-        mine = pc.equal(flat, ids.take(pa.array(np.repeat(np.arange(len(ids)), k + 1)))).to_numpy(zero_copy_only=False).reshape(ok.shape) & ok
-        ok &= ~mine
-        ok[:, -1] &= mine.any(1)
-        tk.release()
-        offsets = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
-        both = pa.StructArray.from_arrays([_flat(hits.column("d")).take(pa.array(pick[ok])), hit_ids.take(pa.array(pick[ok]))], ["d", "id"])
-        return pa.Table.from_arrays([ids, pa.ListArray.from_arrays(offsets, both)], ["id", "near"])
+        for own in (x for batch in batches for x in batch.column(0).to_pylist()):
+            ids, f = held(paths[own])
+            near = Closest(f, k + 1)
+            away = (centres * centres).sum(1) - 2 * (near.q @ centres.T)
+            away[:, own] = -np.inf
+            take = min(probes, len(paths))
+            chosen = np.argpartition(away, take - 1, axis=1)[:, :take] if take < len(paths) else np.tile(np.arange(take), (len(f), 1))
+            box, who = chosen.ravel(), np.repeat(np.arange(len(f)), take)
+            order = np.argsort(box, kind="stable")
+            box, who = box[order], who[order]
+            touched, begin = np.unique(box, return_index=True)
+            end = np.append(begin[1:], len(box))
+            names: dict[int, pa.Array] = {}
+            for j in np.argsort(away.mean(0)[touched], kind="stable"):  # the nearest first, so that later ones have a narrow limit
+                b = int(touched[j])
+                there, points = held(paths[b]) if b != own else (ids, f)
+                before = len(near.hits)
+                near.look(who[begin[j] : end[j]], points, b)
+                if len(near.hits) > before:
+                    names[b] = there
+            row, d, block, at = near.found()
+            turn = np.argsort(block, kind="stable")
+            row, d, block, at = row[turn], d[turn], block[turn], at[turn]
+            named = pa.concat_arrays([names[int(b)].take(pa.array(at[block == b])) for b in np.unique(block)])
+            other = pc.not_equal(named, ids.take(pa.array(row))).to_numpy(zero_copy_only=False)
+            hits = pa.Table.from_arrays([pa.array(row), pa.array(d), named], ["row", "d", "id"]).filter(pa.array(other)).sort_by([("row", "ascending"), ("d", "ascending"), ("id", "ascending")])
+            pick, ok = _ranked(hits.column("row").to_numpy(), len(f), k)
+            flat = pa.array(pick[ok])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
+            both = pa.StructArray.from_arrays([_flat(hits.column("d")).take(flat), _flat(hits.column("id")).take(flat)], ["d", "id"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), leaves[own], np.int32)), pa.ListArray.from_arrays(offsets, both)], ["id", "leaf", "near"])
+            tk.release()
 
     pair_type = T.ArrayType(T.StructType([T.StructField("d", T.LongType()), id_field]))
-    return placed.select("id", "leaf", "f").groupBy("leaf").applyInArrow(match, T.StructType([id_field, T.StructField("near", pair_type)]))
-
+    schema = T.StructType([id_field, T.StructField("leaf", T.IntegerType()), T.StructField("near", pair_type)])
+    every = spark.range(len(files), numPartitions=max(1, len(files)))  # the boxes' files hold all that is needed, so nothing is shuffled
+    return every.select(F.col("id").cast("int").alias("box")).mapInArrow(match, schema)
 
-def graph(docs: DataFrame, id_col: str, text_col: str, k: int, leaf: int, scratch: Scratch, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
-    """(placed, near): every document's words, box and profile in whole numbers (id, words, leaf, v), and its neighbours (id, near)."""
-    placed = boxes(docs, id_col, text_col, leaf, scratch)
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _pack(_unpack(batch.column(3), np.uint8, BUCKETS).astype(np.int32))], ["id", "words", "leaf", "v"])
+def _coded(columns: list[pa.ChunkedArray]) -> tuple[pa.Array, list[list[int]]]:
+    """(the distinct values in order, each column as places in them)."""
+    flat = [_flat(c) for c in columns]
+    values = pc.unique(pa.concat_arrays(flat))
+    values = values.take(pc.array_sort_indices(values))
+    return values, [pc.index_in(c, value_set=values).to_pylist() for c in flat]
 
-    wide = T.StructType([*placed.schema.fields[:3], T.StructField("v", T.BinaryType())])
-    return placed.mapInArrow(widen, wide), neighbours(placed, k, probes, scratch)
 
+def settle(part: pa.Table) -> pa.Table:
+    """One region's edges (region, inside, g, d, u, v, fu, fv, su, sv, lu, lv), each taken, dropped, or left with the paths' names of now.
 
-def one_by_one(part: pa.Table) -> pa.Table:
-    """The edges that are taken of (g, d, u, v, fu, fv, su, sv), with the paths' names at that time."""
+    state: 0 taken; 1 left, both paths in the region; 2 left, one of them.  ``of_u``: whether u's path is in the
+    region.  ``first``: nothing is left that comes before it at the paths in the region.
+    """
     part = part.sort_by([(c, "ascending") for c in "gduv"])
-    name: dict = {}
+    values, (u, v, fu, fv) = _coded([part.column(c) for c in ("u", "v", "fu", "fv")])
+    inside, of_u, su, sv, lu, lv = (part.column(c).to_pylist() for c in ("inside", "of_u", "su", "sv", "lu", "lv"))
+    name, leaf, used, stuck = list(range(len(values))), [0] * len(values), [0] * len(values), bytearray(len(values))
 
-    def path_of(x):
-        while x in name:
-            name[x] = x = name.get(name[x], name[x])
+    def path_of(x: int) -> int:
+        while name[x] != x:
+            name[x] = x = name[name[x]]
         return x
 
-    used: dict = {}
-    u, v, fu, fv, su, sv = (part.column(c).to_pylist() for c in ("u", "v", "fu", "fv", "su", "sv"))
-    taken, first, second = [], [], []
+    rows, states, firsts = [], [], []
     for i in range(len(u)):
-        a, b = used.setdefault(u[i], 1 + su[i]), used.setdefault(v[i], 1 + sv[i])
-        if a > 2 or b > 2 or (x := path_of(fu[i])) == (y := path_of(fv[i])):
+        for end, path, twice, box in ((u[i], fu[i], su[i], lu[i]), (v[i], fv[i], sv[i], lv[i])):
+            if twice and not used[end]:
+                used[end] = 1
+            leaf[path] = box
+    for i in range(len(u)):
+        a, b = u[i], v[i]
+        if used[a] > 1 or used[b] > 1:
             continue
-        used[u[i]], used[v[i]] = a + 1, b + 1
-        name[max(x, y)] = min(x, y)
-        taken.append(i)
-        first.append(x)
-        second.append(y)
-    kept = part.select(["u", "v"]).take(pa.array(taken, pa.int64()))
-    kind = part.schema.field("u").type
-    return pa.Table.from_arrays([*kept.columns, pa.array(first, kind), pa.array(second, kind)], ["u", "v", "fu", "fv"])
-
-
-def joined(near: DataFrame, scratch: Scratch, rest: int = REST) -> tuple[DataFrame, DataFrame]:
-    """(links, names): each document's one or two neighbours on its path (id, links), and the path of each document that isn't its path's name (id, path)."""
+        x, y = path_of(fu[i]), path_of(fv[i])
+        if inside[i]:
+            if x == y:
+                continue
+            if not (stuck[x] or stuck[y]):
+                used[a] += 1
+                used[b] += 1
+                name[max(x, y)] = min(x, y)
+                rows.append(i)
+                states.append(0)
+                firsts.append(True)
+                continue
+            firsts.append(False)
+        else:
+            firsts.append(not (stuck[x] if of_u[i] else stuck[y]))
+        stuck[x] = stuck[y] = 1
+        rows.append(i)
+        states.append(1 if inside[i] else 2)
+    at = pa.array(rows, pa.int64())
+    out = {c: part.column(c).take(at) for c in ("g", "d", "u", "v")}
+    for end, path in ((u, "u"), (v, "v")):
+        now = [path_of((fu if path == "u" else fv)[i]) for i in rows]
+        out[f"f{path}"], out[f"s{path}"], out[f"l{path}"] = values.take(pa.array(now, pa.int64())), pa.array([used[end[i]] > 0 for i in rows], pa.bool_()), pa.array([leaf[x] for x in now], pa.int32())
+    out |= {"state": pa.array(states, pa.int32()), "of_u": part.column("of_u").take(at), "first": pa.array(firsts, pa.bool_())}
+    return pa.table({c: out[c] for c in (*_EDGE, "state", "of_u", "first")})
+
+
+_EDGE = ("g", "d", "u", "v", "fu", "fv", "su", "sv", "lu", "lv")
+
+
+def taken(near: DataFrame, leaves: int, scratch: Scratch, region: int = EDGES) -> DataFrame:
+    """(u, v) of the edges that are taken: those of taking all, one by one, in the order of (lower degree, distance, u, v)."""
     id_type = near.schema["id"].dataType
-    edges = near.select("id", F.explode("near").alias("e")).select(F.least("id", "e.id").alias("u"), F.greatest("id", "e.id").alias("v"), "e.d").distinct()
-    edges = scratch.table(edges)
-    degree = edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    live = edges.join(degree.toDF("u", "nu"), "u").join(degree.toDF("v", "nv"), "v")
-    live = scratch.table(live.select(F.least("nu", "nv").alias("g"), "d", "u", "v", F.col("u").alias("fu"), F.col("v").alias("fv"), F.lit(False).alias("su"), F.lit(False).alias("sv")))
+    edges = scratch.table(near.select("id", F.explode("near").alias("e")).select(F.least("id", "e.id").alias("u"), F.greatest("id", "e.id").alias("v"), "e.d").distinct())
+    degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(near.select("id", "leaf"), "id")
+    live = edges.join(degree.toDF("u", "nu", "lu"), "u").join(degree.toDF("v", "nv", "lv"), "v")
+    live = live.select(F.least("nu", "nv").alias("g"), "d", "u", "v", F.col("u").alias("fu"), F.col("v").alias("fv"), F.lit(False).alias("su"), F.lit(False).alias("sv"), "lu", "lv")
+    kinds = dict(zip(_EDGE, (T.LongType(), T.LongType(), id_type, id_type, id_type, id_type, T.BooleanType(), T.BooleanType(), T.IntegerType(), T.IntegerType())))
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in _EDGE] + [T.StructField("state", T.IntegerType()), T.StructField("of_u", T.BooleanType()), T.StructField("first", T.BooleanType())])
+    live, found = scratch.table(live), []
     scratch.drop(edges)
-    taken = []
-    while (left := live.count()) > rest:
-        edge = F.struct("g", "d", "u", "v", "fu", "fv", "su", "sv")
-        best = live.select(F.explode(F.array("fu", "fv")).alias("f"), edge.alias("e")).groupBy("f").agg(F.min("e").alias("e"))
-        won = scratch.table(best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.*"))
-        taken.append(won.select("u", "v", "fu", "fv"))
-        new = F.least("fu", "fv")
-        moved = won.select(F.explode(F.array(*(F.struct(F.col(f"f{x}").alias("f"), F.col(x).alias("x"), new.alias("new")) for x in "uv"))).alias("m")).select("m.*")
-        after = live
+    while left := live.count():
+        regions = -(-left // region)
+        at = {x: F.floor(F.col(f"l{x}").cast("long") * regions / leaves).cast("int") for x in "uv"}
+        sent = live.withColumn("inside", at["u"] == at["v"]).withColumn("region", F.explode(F.array_distinct(F.array(at["u"], at["v"])))).withColumn("of_u", at["u"] == F.col("region"))
+        done = scratch.table(sent.groupBy("region").applyInArrow(settle, schema))
+        scratch.drop(live)
+        found.append(done.where("state = 0").select("u", "v"))
+        if regions == 1:
+            break
+        side = lambda x, here: F.max(F.when(F.col("of_u") if here else ~F.col("of_u"), F.struct(*(F.col(f"{c}{x}") for c in "fsl")))).alias(x * 2)
+        outside = done.where("state = 2").groupBy("g", "d", "u", "v").agg(side("u", True), side("v", False), F.bool_and("first").alias("first"), F.count("*").alias("n")).where("n = 2")
+        outside = scratch.table(outside.select("g", "d", "u", "v", *(F.col(f"{x * 2}.{c}{x}") for c in "fsl" for x in "uv"), "first"))
+        won = outside.where("first")
+        found.append(won.select("u", "v"))
+        low = F.col("fu") < F.col("fv")
+        new, box = F.least("fu", "fv"), F.when(low, F.col("lu")).otherwise(F.col("lv"))
+        moved = won.select(F.explode(F.array(*(F.struct(F.col(f"f{x}").alias("f"), F.col(x).alias("x"), new.alias("new"), box.alias("box")) for x in "uv"))).alias("m")).select("m.*")
+        after = done.where("state = 1").select(*_EDGE).unionByName(outside.where("not first").select(*_EDGE))
         for x in "uv":
-            m = moved.toDF("__f", "__x", "__new")
+            m = broadcast_if_small(moved.toDF("__f", "__x", "__new", "__box"))
             hit = F.col("__x").eqNullSafe(F.col(x))
             after = after.join(m, F.col(f"f{x}") == F.col("__f"), "left").where(~(hit & F.col(f"s{x}")))
-            after = after.withColumns({f"f{x}": F.coalesce("__new", f"f{x}"), f"s{x}": F.col(f"s{x}") | hit}).drop("__f", "__x", "__new")
-        before, live = live, scratch.table(after.where("fu <> fv"))
-        scratch.drop(before)
-    four = T.StructType([T.StructField(c, id_type) for c in ("u", "v", "fu", "fv")])
-    if left:
-        taken.append(scratch.table(live.groupBy(F.lit(True)).applyInArrow(one_by_one, four)))
-    every = near.sparkSession.createDataFrame([], four)
-    for t in taken:
+            after = after.withColumns({f"f{x}": F.coalesce("__new", f"f{x}"), f"s{x}": F.col(f"s{x}") | hit, f"l{x}": F.coalesce("__box", f"l{x}")}).drop("__f", "__x", "__new", "__box")
+        live = scratch.table(after.where("fu <> fv").select(*_EDGE))
+    every = near.sparkSession.createDataFrame([], T.StructType([T.StructField(c, id_type) for c in "uv"]))
+    for t in found:
         every = every.unionByName(t)
-    every = scratch.table(every)
-    scratch.drop(live)
-    names = every.select(F.greatest("fu", "fv").alias("id"), F.least("fu", "fv").alias("path"))
-    while True:  # a name's name, until none has one: rounds grow with the logarithm of the longest chain
-        names = scratch.table(names)
-        further = names.join(names.toDF("path", "next"), "path", "left")
-        if not further.where("next is not null").limit(1).count():
-            break
-        names = further.select("id", F.coalesce("next", "path").alias("path"))
-    both = every.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("to")), F.struct(F.col("v").alias("id"), F.col("u").alias("to")))).alias("l")).select("l.*")
-    return both.groupBy("id").agg(F.collect_list("to").alias("links")), names
+    return every
+
+
+def stretches(part: pa.Table) -> pa.Table:
+    """Of one region's nodes (id, f, links): the stretches of paths within it.  Each node's stretch, place and f; at place 0 also the stretch's length, last node, and the nodes that follow it before the first and after the last."""
+    part = part.sort_by("id")
+    ids = _flat(part.column("id"))
+    links = _flat(part.column("links"))
+    begin = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(links), 0).to_numpy(zero_copy_only=False))])
+    to = pc.index_in(links.flatten(), value_set=ids)
+    inner, beyond = pc.fill_null(to, -1).to_pylist(), links.flatten()
+    ahead = [[j for j in range(a, b)] for a, b in zip(begin, begin[1:])]
+    seen, first, place, last, outs = bytearray(len(ids)), [0] * len(ids), [0] * len(ids), {}, {}
+    for i in range(len(ids)):
+        mine = [j for j in ahead[i] if inner[j] >= 0]
+        if seen[i] or len(mine) > 1:
+            continue
+        away = [j for j in ahead[i] if inner[j] < 0]
+        here, n = i, 0
+        while True:
+            seen[here], first[here], place[here] = 1, i, n
+            n += 1
+            on = [j for j in ahead[here] if inner[j] >= 0 and not seen[inner[j]]]
+            if not on:
+                break
+            here = inner[on[0]]
+        end = [j for j in ahead[here] if inner[j] < 0]
+        last[i] = (here, n)
+        outs[i] = (away[0] if away else None, end[-1] if end and (here != i or len(away) > 1) else None)
+    heads = [i for i in range(len(ids)) if place[i] == 0]
+    at = {i: n for n, i in enumerate(heads)}
+    which = pa.array([at.get(i) if place[i] == 0 else None for i in range(len(ids))], pa.int64())
+    column = lambda values: values.take(which)
+    ends = ids.take(pa.array([last[i][0] for i in heads], pa.int64()))
+    before, after = (beyond.take(pa.array([outs[i][k] for i in heads], pa.int64())) for k in (0, 1))
+    return pa.table(
+        {
+            "id": ids, "f": _flat(part.column("f")), "seg": ids.take(pa.array(first, pa.int64())), "pos": pa.array(place, pa.int64()),
+            "size": column(pa.array([last[i][1] for i in heads], pa.int64())), "tail": column(ends), "before": column(before), "after": column(after),
+        }
+    )
+
+
+def places(nodes: DataFrame, links: DataFrame, leaves: int, scratch: Scratch, region: int = RANGE) -> DataFrame:
+    """(f, path, pos): each node's path, named by the smaller of its ends, and place on it from that end."""
+    id_type = nodes.schema["id"].dataType
+    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("to")), F.struct(F.col("v").alias("id"), F.col("u").alias("to")))).alias("l")).select("l.*")
+    linked = nodes.join(both.groupBy("id").agg(F.collect_list("to").alias("links")), "id", "left")
+    regions = max(1, -(-nodes.count() // region))
+    linked = linked.select("id", "f", F.coalesce("links", F.array().cast(T.ArrayType(id_type))).alias("links"), F.floor(F.col("leaf").cast("long") * regions / leaves).alias("region"))
+    fields = [("id", id_type), ("f", T.BinaryType()), ("seg", id_type), ("pos", T.LongType()), ("size", T.LongType()), ("tail", id_type), ("before", id_type), ("after", id_type)]
+    cut = scratch.table(linked.groupBy("region").applyInArrow(stretches, T.StructType([T.StructField(n, t) for n, t in fields])))
+    segs = cut.where("pos = 0 and (before is not null or after is not null)")
+    # a port is a side of a stretch that is linked; (seg, side) stands for going through seg, in at that side
+    ports = segs.select("seg", "size", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("seg").alias("here"), F.col("before").alias("there"), F.col("tail").alias("tip")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("here"), F.col("after").alias("there"), F.col("seg").alias("tip")))).alias("p")).select("seg", "size", "p.*")
+    ports = scratch.table(ports)
+    enter = ports.where("there is not null").select(F.col("here").alias("there"), F.col("there").alias("here"), F.col("seg").alias("on"), F.col("side").alias("at"), F.col("size").alias("far"), F.col("tip").alias("end"))
+    out = ports.where("there is not null").select("seg", (1 - F.col("side")).alias("side"), "here", "there").join(enter, ["here", "there"]).select("seg", "side", "on", "at", "far", "end")
+    now = scratch.table(ports.select("seg", "side", F.col("tip").alias("own")).join(out, ["seg", "side"], "left").select("seg", "side", "on", "at", F.coalesce("far", F.lit(0)).alias("far"), F.coalesce("end", "own").alias("end")))
+    while not now.where("on is not null").isEmpty():  # rounds grow with the logarithm of the most stretches on a path
+        then = now.toDF("on", "at", "on2", "at2", "far2", "end2")
+        further = now.where("on is not null").join(then, ["on", "at"]).select("seg", "side", F.col("on2").alias("on"), F.col("at2").alias("at"), (F.col("far") + F.col("far2")).alias("far"), F.col("end2").alias("end"))
+        further = scratch.table(further.unionByName(now.where("on is null")))
+        scratch.drop(now)
+        now = further
+    found = now.groupBy("seg").agg(*(F.max(F.when(F.col("side") == s, F.struct("far", "end"))).alias(f"r{s}") for s in (0, 1))).select("seg", "r0", "r1")
+    size = segs.select("seg", F.col("size").alias("long"))
+    alone = cut.where("pos = 0 and before is null and after is null").select("seg", F.col("size").alias("long"), F.struct(F.lit(0).cast("long").alias("far"), F.col("tail").alias("end")).alias("r0"), F.struct(F.lit(0).cast("long").alias("far"), F.col("seg").alias("end")).alias("r1"))
+    known = found.join(size, "seg").select("seg", "long", "r0", "r1").unionByName(alone)
+    ahead = F.col("r1.end") <= F.col("r0.end")
+    place = F.when(ahead, F.col("r1.far") + F.col("pos")).otherwise(F.col("r0.far") + F.col("long") - 1 - F.col("pos"))
+    return cut.select("f", "seg", "pos").join(known, "seg").select("f", F.least("r0.end", "r1.end").alias("path"), place.alias("pos"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = 0
+    for batch in batches:
+        words = batch.column("words").to_numpy()
+        end = total + np.cumsum(words)
+        total = int(end[-1]) if len(end) else total
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(end)], [*batch.schema.names, "end"])
+
+
+def windows(laid: DataFrame, window: int, scratch: Scratch, span: int = RANGE) -> DataFrame:
+    """laid: (id, words, path, pos), in whatever order; the documents by (path, pos, id) one after the other, cut into windows."""
+    id_type = laid.schema["id"].dataType
+    parts = max(1, -(-laid.count() // span))
+    order = ("path", "pos", "id")
+    laid = laid.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    laid = scratch.table(laid.mapInArrow(_summed, T.StructType([*laid.schema.fields, T.StructField("end", T.LongType())])))
+    sums = sorted(laid.groupBy("part").agg(F.max("end").alias("words")).collect())
+    start = dict(zip((r.part for r in sums), np.cumsum([0, *(r.words for r in sums)]).tolist()))
+    #: how many documents of each part reach into the window in which the next part begins
+    edge = [(r.part, (start[r.part] + r.words) // window * window - start[r.part]) for r in sums]
+    reach = laid.join(F.broadcast(laid.sparkSession.createDataFrame(edge, "part int, edge bigint")), "part").where(F.col("end") > F.col("edge")).groupBy("part").count()
+    reach, carry, held = dict(map(tuple, reach.collect())), {}, 0
+    for r in sums:
+        carry[r.part] = held
+        same = (start[r.part] + r.words) // window == start[r.part] // window
+        held = reach.get(r.part, 0) + (held if same else 0)
+
+    def lay(part: pa.Table) -> pa.Table:
+        part = part.sort_by("end")
+        key, words = part.column("part")[0].as_py(), part.column("words").to_numpy()
+        begin, first = start[key], start[key] // window
+        item, win, a, b = fill(np.concatenate([[begin - first * window], words])[0 if begin % window else 1 :], window)
+        if begin % window:  # what the parts before put into the window in which this one begins
+            keep = item > 0
+            item, win, a, b = item[keep] - 1, win[keep], a[keep], b[keep]
+        slot = np.arange(len(win)) - np.searchsorted(win, win)
+        slot[win == 0] += carry[key]
+        return pa.table({"window_id": first + win, "slot": slot.astype(np.int32), "doc_id": part.column("id").take(pa.array(item)), "path_id": part.column("path").take(pa.array(item)), "word_start": a, "word_end": b})
+
+    schema = T.StructType([T.StructField("window_id", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("path_id", id_type), T.StructField("word_start", T.LongType()), T.StructField("word_end", T.LongType())])
+    return laid.groupBy("part").applyInArrow(lay, schema)
+
+
+def spread(profile: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, words, path, pos) of every document.
+
+    Profiles that at least one document in 1024 has are 1024 at most: they are met by broadcast, so that no task gets
+    all their documents.
+    """
+    count = profile.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") * 1024 >= profile.count())
+    hot = scratch.table(placed.join(F.broadcast(count.select("f")), "f"))
+    rest = profile.join(F.broadcast(hot.select("f")), "f", "left_anti").join(placed, "f")
+    return profile.join(F.broadcast(hot), "f").unionByName(rest).select("id", "words", "path", "pos")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, leaf: int = LEAF, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """(window_id, slot, doc_id, path_id, word_start, word_end): which words of which document fill each window, in order."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    placed = boxes(docs, id_col, text_col, leaf, scratch)
-    links, names = joined(neighbours(placed, k, PROBES, scratch), scratch)
-    groups = max(1, -(-placed.count() // LEAF))
-    laid = placed.select("id", "words").join(names, "id", "left").join(links, "id", "left")
-    laid = laid.select("id", "words", "links", F.pmod(F.xxhash64(F.coalesce("path", "id")), F.lit(groups)).alias("group"))
+    """(window_id, slot, doc_id, path_id, word_start, word_end): which words of which document fill each window, in order.
 
-    def lay(part: pa.Table) -> pa.Table:
-        part = part.sort_by("id")
-        ids = part.column("id").to_pylist()
-        position = {x: i for i, x in enumerate(ids)}
-        edges = [[position[x] for x in row or ()] for row in part.column("links").to_pylist()]
-        paths = walk(edges, [[0] * len(e) for e in edges])
-        order = np.concatenate([np.asarray(p) for p in paths])
-        path = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
-        item, win, a, b = fill(part.column("words").to_numpy()[order], window)
-        slot = np.arange(len(win)) - np.searchsorted(win, win)
-        base = int(part.column("group")[0].as_py()) << 32
-        columns = [pa.array(base + win), pa.array(slot.astype(np.int32)), _flat(part.column("id")).take(pa.array(order[item])), pa.array(base + path[item]), pa.array(a), pa.array(b)]
-        return pa.Table.from_arrays(columns, ["window_id", "slot", "doc_id", "path_id", "word_start", "word_end"])
-
-    schema = T.StructType(
-        [T.StructField("window_id", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("doc_id", docs.schema[id_col].dataType)]
-        + [T.StructField(c, T.LongType()) for c in ("path_id", "word_start", "word_end")]
-    )
-    return laid.groupBy("group").applyInArrow(lay, schema)
+    ``path_id`` is the document at the path's beginning.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    profile, nodes, leaves = boxes(docs, id_col, text_col, leaf, scratch)
+    nodes = scratch.table(nodes)
+    near = scratch.table(neighbours(nodes, k, PROBES, scratch))
+    links = scratch.table(taken(near, leaves, scratch))
+    placed = scratch.table(places(nodes, links, leaves, scratch))
+    return windows(spread(profile, placed, scratch), window, scratch)
 
 
 def assemble(plan: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,88 +16,51 @@ def corpus(n=300, seed=1):
     return rows + [(n + j, rows[4][1]) for j in range(20)]  # more equal documents than neighbours
 
 
-def brute_neighbours(placed, k):
-    ids = [r.id for r in placed]
-    v = np.array([np.frombuffer(bytes(r.v), np.int32) for r in placed]).astype(np.int64)
+def nodes_of(rows):
+    """(id, profile) of the distinct profiles, and every document's node."""
+    n, f = p.features(pa.array([t for _, t in rows]))
+    first, node = {}, {}
+    for (i, _), words, profile in sorted(zip(rows, n, f), key=lambda r: r[0][0]):
+        if words:
+            node[i] = first.setdefault(bytes(profile), i)
+    return {i: np.frombuffer(profile, np.uint8).astype(np.int64) for profile, i in first.items()}, node
+
+
+def brute_neighbours(profiles, k):
+    ids = sorted(profiles)
+    v = np.array([profiles[i] for i in ids])
     out = {}
-    for i in range(len(ids)):
-        d = ((v - v[i]) ** 2).sum(1)
-        out[ids[i]] = [(int(x), j) for x, j in sorted((d[j], ids[j]) for j in range(len(ids)) if j != i)[:k]]
+    for n, i in enumerate(ids):
+        d = ((v - v[n]) ** 2).sum(1)
+        out[i] = [(int(x), j) for x, j in sorted((d[m], ids[m]) for m in range(len(ids)) if m != n)[:k]]
     return out
 
 
+def graph(docs, leaf, spark):
+    _, nodes, leaves = p.boxes(docs, "doc_id", "text", leaf, Scratch(spark))
+    scratch = Scratch(spark)
+    nodes = scratch.table(nodes)
+    return nodes, scratch.table(p.neighbours(nodes, p.NEIGHBOURS, p.PROBES, scratch)), leaves
+
+
 def test_neighbours_are_exact_whatever_the_boxes(spark, make):
-    docs = make(corpus()).repartition(3)
-    found = []
+    rows = corpus()
     for leaf in (1000, 40):
-        placed, near = p.graph(docs, "doc_id", "text", p.NEIGHBOURS, leaf, Scratch(spark))
-        placed = placed.collect()
-        assert (len({r.leaf for r in placed}) > 1) == (leaf == 40)
-        got = {r.id: [(e.d, e.id) for e in r.near] for r in near.collect()}
-        assert got == brute_neighbours(placed, p.NEIGHBOURS)
-        found.append(got)
-    assert found[0] == found[1]
-
-
-def test_search_equals_brute_force_with_copies_and_bounds():
-    r = np.random.default_rng(4)
-    for n, spread, leaf in ((1, 5, 8), (7, 1, 2), (200, 2, 8), (400, 40, 16), (300, 1, 4)):
-        v = r.integers(-spread, spread + 1, (n, p.AXES)).astype(np.int32)
-        q = np.concatenate([v, r.integers(-2 * spread, 2 * spread, (30, p.AXES)).astype(np.int32)])
-        d = ((q[:, None].astype(float) - v[None]) ** 2).sum(2)
-        want = [sorted(zip(row, range(n)))[:5] for row in d]
-        at, far = p.search(q, v, 5, leaf)
-        assert [[(b, a) for a, b in zip(x, y) if a >= 0] for x, y in zip(at, far)] == want
-        bound = r.integers(0, 4 * spread * spread, len(q)).astype(float)
-        at, far = p.search(q, v, 5, leaf, bound)
-        assert [[(b, a) for a, b in zip(x, y) if a >= 0] for x, y in zip(at, far)] == [[w for w in row if w[0] <= m] for row, m in zip(want, bound)]
-        at, far = p.without_self(*p.search(v, v, 6, leaf))
-        assert [[(b, a) for a, b in zip(x, y) if a >= 0] for x, y in zip(at, far)] == [sorted((d[i, j], j) for j in range(n) if j != i)[:5] for i in range(n)]
-    at, far = p.search(v[:3], v[:0], 5, 4)
-    assert (at == -1).all() and at.shape == (3, 5)
+        nodes, near, leaves = graph(make(rows).repartition(3), leaf, spark)
+        assert (leaves > 1) == (leaf == 40)
+        assert {r.id: [(e.d, e.id) for e in r.near] for r in near.collect()} == brute_neighbours(nodes_of(rows)[0], p.NEIGHBOURS)
 
 
 def test_neighbours_are_those_of_the_whole_profiles_when_there_are_more_boxes_than_probes(spark, make):
     rows = corpus(1500, 3)
-    profile = p.features(pa.array([t for _, t in rows]))[1].astype(np.int64)
-    placed, near = p.graph(make(rows).repartition(3), "doc_id", "text", p.NEIGHBOURS, 16, Scratch(spark))
-    assert placed.select("leaf").distinct().count() > p.PROBES
-    right = 0
+    profiles = nodes_of(rows)[0]
+    _, near, leaves = graph(make(rows).repartition(3), 16, spark)
+    assert leaves > p.PROBES
+    want, right = brute_neighbours(profiles, p.NEIGHBOURS), 0
     for r in near.collect():
-        d = ((profile - profile[r.id]) ** 2).sum(1)
-        assert [e.d for e in r.near] == [d[e.id] for e in r.near]
-        d[r.id] = d.max() + 1
-        right += sum(e.d <= np.sort(d)[p.NEIGHBOURS - 1] for e in r.near)
-    assert right >= 0.9 * p.NEIGHBOURS * len(rows)
-
-
-def brute_walk(near, far):
-    n = len(near)
-    edge = {}
-    for i in range(n):
-        for j, d in zip(near[i], far[i]):
-            edge[i, j] = edge[j, i] = d
-    degree = [sum(a == i for a, _ in edge) for i in range(n)]
-    left, paths = set(range(n)), []
-    while left:
-        here = min(left, key=lambda i: (degree[i], i))
-        path = []
-        while here is not None:
-            left.discard(here)
-            path.append(here)
-            options = [(edge[here, j], j) for j in left if (here, j) in edge]
-            here = min(options)[1] if options else None
-        paths.append(path)
-    return paths
-
-
-def test_walk_equals_brute_force():
-    r = random.Random(0)
-    for n in (1, 2, 7, 40):
-        near = [r.sample([j for j in range(n) if j != i], min(3, n - 1)) for i in range(n)]
-        dist = {}
-        far = [[dist.setdefault(tuple(sorted((i, j))), r.randint(0, 5)) for j in js] for i, js in enumerate(near)]
-        assert p.walk(near, far) == brute_walk(near, far)
+        assert [e.d for e in r.near] == [((profiles[r.id] - profiles[e.id]) ** 2).sum() for e in r.near]
+        right += sum(e.d <= want[r.id][-1][0] for e in r.near)
+    assert right >= 0.9 * p.NEIGHBOURS * len(profiles)
 
 
 def brute_joined(near):
@@ -117,19 +80,78 @@ def brute_joined(near):
     return taken, {i: min(p) for i, p in path.items()}
 
 
-def test_paths_are_those_of_the_whole_graph_in_rounds_or_one_by_one(spark, make):
-    near = p.graph(make(corpus(150)), "doc_id", "text", p.NEIGHBOURS, 20, Scratch(spark))[1].localCheckpoint()
-    taken, path = brute_joined({r.id: [(e.d, e.id) for e in r.near] for r in near.collect()})
-    for rest in (0, 200, p.REST):
-        links, names = p.joined(near, Scratch(spark), rest)
-        assert {(min(r.id, x), max(r.id, x)) for r in links.collect() for x in r.links} == taken
-        assert {i: i for i in path} | {r.id: r.path for r in names.collect()} == path
+def brute_places(near, taken):
+    """(path, place) of each node: paths are named by the smaller of their ends and begin there."""
+    links = defaultdict(list)
+    for u, v in taken:
+        links[u].append(v)
+        links[v].append(u)
+    out = {}
+    for i in sorted(near):
+        if i in out or len(links[i]) == 2:
+            continue
+        here, before, n = i, None, 0
+        while here is not None:
+            out[here] = (i, n)
+            here, before, n = next((j for j in links[here] if j != before), None), here, n + 1
+    return out
+
+
+def brute_plan(rows, window):
+    """The whole query by brute force: all distances, edges one by one, words one by one."""
+    profiles, node = nodes_of(rows)
+    near = brute_neighbours(profiles, p.NEIGHBOURS)
+    place = brute_places(near, brute_joined(near)[0])
+    words = {i: int(p.features(pa.array([t]))[0][0]) for i, t in rows}
+    out, at = [], 0
+    slots = defaultdict(int)
+    for path, _, i in sorted((*place[node[i]], i) for i in node):
+        done = 0
+        while done < words[i]:
+            n = min(words[i] - done, window - at % window)
+            out.append((at // window, slots[at // window], i, path, done, done + n))
+            slots[at // window] += 1
+            at, done = at + n, done + n
+    return sorted(out)
+
+
+def test_paths_are_those_of_the_whole_graph_whatever_the_regions(spark, make):
+    rows = corpus(400)
+    nodes, near, leaves = graph(make(rows), 20, spark)
+    wanted = {r.id: [(e.d, e.id) for e in r.near] for r in near.collect()}
+    edges, _ = brute_joined(wanted)
+    place = brute_places(wanted, edges)
+    profile = {bytes(r.f): r.id for r in nodes.collect()}
+    for region, span in ((p.EDGES, p.RANGE), (300, 100), (40, 15)):
+        scratch = Scratch(spark)
+        links = scratch.table(p.taken(near, leaves, scratch, region))
+        assert sorted(map(tuple, links.collect())) == sorted(edges)
+        assert {profile[bytes(r.f)]: (r.path, r.pos) for r in p.places(nodes, links, leaves, scratch, span).collect()} == place
+
+
+def test_the_whole_query_equals_brute_force_whatever_the_boxes(make):
+    rows = corpus()
+    for leaf in (1000, 40):
+        assert sorted(map(tuple, p.pack(make(rows), window=64, leaf=leaf).collect())) == brute_plan(rows, 64)
+
+
+def test_windows_continue_over_the_borders_of_ranges(spark, make):
+    r = random.Random(5)
+    rows = [(i, r.choice((1, 1, 2, 3, 40)), i // 7, i % 7) for i in range(200)]
+    laid = make(rows, "id bigint, words bigint, path bigint, pos bigint").repartition(5)
+    whole = sorted(map(tuple, p.windows(laid, 16, Scratch(spark)).collect()))
+    assert len(whole) > 200
+    for span in (100, 7, 3):
+        assert sorted(map(tuple, p.windows(laid, 16, Scratch(spark), span).collect())) == whole
 
 
-def test_windows_do_not_depend_on_the_boxes(make):
-    docs = make(corpus())
-    plans = [sorted(map(tuple, p.pack(docs, window=64, leaf=leaf).collect())) for leaf in (1000, 40)]
-    assert plans[0] == plans[1]
+def test_many_copies_stand_side_by_side(make):
+    rows = [(i, "one text that a third of all rows have") for i in range(0, 900, 3)] + [(i, " ".join(random.Random(i).choices(WORDS, k=30))) for i in range(900) if i % 3]
+    plan = p.pack(make(rows), window=64).collect()
+    order = [r.doc_id for r in sorted(plan, key=lambda r: (r.window_id, r.slot)) if r.word_start == 0]
+    at = [n for n, i in enumerate(order) if i % 3 == 0]
+    assert at == list(range(at[0], at[0] + 300)) and len(order) == 900
+    assert sorted(map(tuple, plan)) == brute_plan(rows, 64)
 
 
 def test_windows_hold_every_word_once_and_are_full(make):
@@ -142,8 +164,7 @@ def test_windows_hold_every_word_once_and_are_full(make):
     for i, text in rows:
         mine = sorted(spans[i])
         assert mine[0][0] == 0 and mine[-1][1] == len(text.split()) and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
-    boxes = {w >> 32 for w in fills}
-    assert max(fills.values()) == 64 and sum(v < 64 for v in fills.values()) <= len(boxes)
+    assert sorted(fills) == list(range(len(fills))) and all(fills[w] == 64 for w in sorted(fills)[:-1])
     by = defaultdict(list)
     for r in plan:
         by[r.window_id].append(r.slot)
