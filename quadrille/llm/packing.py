@@ -12,10 +12,9 @@ tree is built from a bounded sample, about ``SAMPLE`` rows, and has at most ``MA
 
 Paths.  Edges are taken from the whole graph, wherever the boxes' borders are: first those of the nodes of lowest
 degree (Shi et al. 2023), of these the nearest.  An edge joins two paths if each of its nodes is still an end of a
-path, and not of the same one.  Regions of neighbouring boxes, about ``EDGES`` edges each, settle in order all edges
-for which nothing that comes first is open; an edge across a border waits, with what depends on it, until it comes
-first at both its ends.  As edges are settled, regions grow.  The result is that of taking all edges one by one.
-Regions then number the nodes of their stretches of the paths, and stretches find their places by pointer jumping.
+path, and not of the same one.  This is done in parallel rounds, in which a path is joined by an edge that comes first
+among all those left at the ends of both; the last ``REST`` edges are done one by one by one task.  Both give what
+taking all edges one by one gives.  Nodes then find their places on the paths by pointer jumping.
 
 Windows.  Documents are sorted by path and place, in ranges of about ``RANGE``, and laid one after the other; sums over
 the ranges tell where each begins.  Windows of ``WINDOW`` words are cut along the whole of it; a document across a
@@ -43,7 +42,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import Scratch, broadcast_if_small
 
-BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, EDGES, RANGE, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 1 << 18, 1 << 16, 2048
+BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, REST, RANGE, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 1 << 21, 1 << 16, 2048
 AXES = BUCKETS
 _CHUNK = 512
 
@@ -282,180 +281,92 @@ def neighbours(nodes: DataFrame, k: int, probes: int, scratch: Scratch) -> DataF
     return every.select(F.col("id").cast("int").alias("box")).mapInArrow(match, schema)
 
 
-def _coded(columns: list[pa.ChunkedArray]) -> tuple[pa.Array, list[list[int]]]:
-    """(the distinct values in order, each column as places in them)."""
-    flat = [_flat(c) for c in columns]
-    values = pc.unique(pa.concat_arrays(flat))
-    values = values.take(pc.array_sort_indices(values))
-    return values, [pc.index_in(c, value_set=values).to_pylist() for c in flat]
-
-
-def settle(part: pa.Table) -> pa.Table:
-    """One region's edges (region, inside, g, d, u, v, fu, fv, su, sv, lu, lv), each taken, dropped, or left with the paths' names of now.
-
-    state: 0 taken; 1 left, both paths in the region; 2 left, one of them.  ``of_u``: whether u's path is in the
-    region.  ``first``: nothing is left that comes before it at the paths in the region.
-    """
-    part = part.sort_by([(c, "ascending") for c in "gduv"])
-    values, (u, v, fu, fv) = _coded([part.column(c) for c in ("u", "v", "fu", "fv")])
-    inside, of_u, su, sv, lu, lv = (part.column(c).to_pylist() for c in ("inside", "of_u", "su", "sv", "lu", "lv"))
-    name, leaf, used, stuck = list(range(len(values))), [0] * len(values), [0] * len(values), bytearray(len(values))
-
-    def path_of(x: int) -> int:
-        while name[x] != x:
-            name[x] = x = name[name[x]]
-        return x
-
-    rows, states, firsts = [], [], []
-    for i in range(len(u)):
-        for end, path, twice, box in ((u[i], fu[i], su[i], lu[i]), (v[i], fv[i], sv[i], lv[i])):
-            if twice and not used[end]:
-                used[end] = 1
-            leaf[path] = box
-    for i in range(len(u)):
-        a, b = u[i], v[i]
-        if used[a] > 1 or used[b] > 1:
-            continue
-        x, y = path_of(fu[i]), path_of(fv[i])
-        if inside[i]:
-            if x == y:
+def _coded(columns: list[pa.ChunkedArray]) -> tuple[int, list[np.ndarray]]:
+    """(number of distinct values, each column as places in them, which are in order)."""
+    flat = pa.concat_arrays([_flat(c) for c in columns])
+    if pa.types.is_integer(flat.type):
+        values, codes = np.unique(flat.to_numpy(), return_inverse=True)
+    else:
+        values = pc.unique(flat)
+        values = values.take(pc.array_sort_indices(values))
+        codes = pc.index_in(flat, value_set=values).to_numpy()
+    return len(values), np.split(codes.astype(np.int32), len(columns))
+
+
+def one_by_one(part: pa.Table) -> pa.Table:
+    """The edges (u, v) that are taken of (r, u, v, fu, fv, su, sv), in the order of r."""
+    part = part.sort_by("r")
+    n, columns = _coded([part.column(c) for c in ("u", "v", "fu", "fv")])
+    used = np.zeros(n, np.int8)
+    for end, twice in zip(columns, ("su", "sv")):
+        used[end[part.column(twice).to_numpy()]] = 1
+    used, name, taken = used.tolist(), list(range(n)), []
+    for s in range(0, len(part), 1 << 16):
+        for i, (a, b, x, y) in enumerate(zip(*(c[s : s + (1 << 16)].tolist() for c in columns)), s):
+            if used[a] > 1 or used[b] > 1:
                 continue
-            if not (stuck[x] or stuck[y]):
+            while name[x] != x:
+                name[x] = x = name[name[x]]
+            while name[y] != y:
+                name[y] = y = name[name[y]]
+            if x != y:
+                name[max(x, y)] = min(x, y)
                 used[a] += 1
                 used[b] += 1
-                name[max(x, y)] = min(x, y)
-                rows.append(i)
-                states.append(0)
-                firsts.append(True)
-                continue
-            firsts.append(False)
-        else:
-            firsts.append(not (stuck[x] if of_u[i] else stuck[y]))
-        stuck[x] = stuck[y] = 1
-        rows.append(i)
-        states.append(1 if inside[i] else 2)
-    at = pa.array(rows, pa.int64())
-    out = {c: part.column(c).take(at) for c in ("g", "d", "u", "v")}
-    for end, path in ((u, "u"), (v, "v")):
-        now = [path_of((fu if path == "u" else fv)[i]) for i in rows]
-        out[f"f{path}"], out[f"s{path}"], out[f"l{path}"] = values.take(pa.array(now, pa.int64())), pa.array([used[end[i]] > 0 for i in rows], pa.bool_()), pa.array([leaf[x] for x in now], pa.int32())
-    out |= {"state": pa.array(states, pa.int32()), "of_u": part.column("of_u").take(at), "first": pa.array(firsts, pa.bool_())}
-    return pa.table({c: out[c] for c in (*_EDGE, "state", "of_u", "first")})
-
-
-_EDGE = ("g", "d", "u", "v", "fu", "fv", "su", "sv", "lu", "lv")
+                taken.append(i)
+    tk.release()
+    return part.select(["u", "v"]).take(pa.array(taken, pa.int64()))
 
 
-def taken(near: DataFrame, leaves: int, scratch: Scratch, region: int = EDGES) -> DataFrame:
+def taken(near: DataFrame, scratch: Scratch, rest: int = REST) -> DataFrame:
     """(u, v) of the edges that are taken: those of taking all, one by one, in the order of (lower degree, distance, u, v)."""
     id_type = near.schema["id"].dataType
     edges = scratch.table(near.select("id", F.explode("near").alias("e")).select(F.least("id", "e.id").alias("u"), F.greatest("id", "e.id").alias("v"), "e.d").distinct())
-    degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(near.select("id", "leaf"), "id")
-    live = edges.join(degree.toDF("u", "nu", "lu"), "u").join(degree.toDF("v", "nv", "lv"), "v")
-    live = live.select(F.least("nu", "nv").alias("g"), "d", "u", "v", F.col("u").alias("fu"), F.col("v").alias("fv"), F.lit(False).alias("su"), F.lit(False).alias("sv"), "lu", "lv")
-    kinds = dict(zip(_EDGE, (T.LongType(), T.LongType(), id_type, id_type, id_type, id_type, T.BooleanType(), T.BooleanType(), T.IntegerType(), T.IntegerType())))
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in _EDGE] + [T.StructField("state", T.IntegerType()), T.StructField("of_u", T.BooleanType()), T.StructField("first", T.BooleanType())])
-    live, found = scratch.table(live), []
+    degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ranked = edges.join(degree.toDF("u", "nu"), "u").join(degree.toDF("v", "nv"), "v").select(F.least("nu", "nv").alias("g"), "d", "u", "v")
+    ranked = ranked.repartitionByRange("g", "d", "u", "v").sortWithinPartitions("g", "d", "u", "v")
+    live = scratch.table(ranked.select(F.monotonically_increasing_id().alias("r"), "u", "v", F.col("u").alias("fu"), F.col("v").alias("fv"), F.lit(False).alias("su"), F.lit(False).alias("sv")))
     scratch.drop(edges)
-    while left := live.count():
-        regions = -(-left // region)
-        at = {x: F.floor(F.col(f"l{x}").cast("long") * regions / leaves).cast("int") for x in "uv"}
-        sent = live.withColumn("inside", at["u"] == at["v"]).withColumn("region", F.explode(F.array_distinct(F.array(at["u"], at["v"])))).withColumn("of_u", at["u"] == F.col("region"))
-        done = scratch.table(sent.groupBy("region").applyInArrow(settle, schema))
-        scratch.drop(live)
-        found.append(done.where("state = 0").select("u", "v"))
-        if regions == 1:
-            break
-        side = lambda x, here: F.max(F.when(F.col("of_u") if here else ~F.col("of_u"), F.struct(*(F.col(f"{c}{x}") for c in "fsl")))).alias(x * 2)
-        outside = done.where("state = 2").groupBy("g", "d", "u", "v").agg(side("u", True), side("v", False), F.bool_and("first").alias("first"), F.count("*").alias("n")).where("n = 2")
-        outside = scratch.table(outside.select("g", "d", "u", "v", *(F.col(f"{x * 2}.{c}{x}") for c in "fsl" for x in "uv"), "first"))
-        won = outside.where("first")
-        found.append(won.select("u", "v"))
-        low = F.col("fu") < F.col("fv")
-        new, box = F.least("fu", "fv"), F.when(low, F.col("lu")).otherwise(F.col("lv"))
-        moved = won.select(F.explode(F.array(*(F.struct(F.col(f"f{x}").alias("f"), F.col(x).alias("x"), new.alias("new"), box.alias("box")) for x in "uv"))).alias("m")).select("m.*")
-        after = done.where("state = 1").select(*_EDGE).unionByName(outside.where("not first").select(*_EDGE))
+    pair = T.StructType([T.StructField(c, id_type) for c in "uv"])
+    every = near.sparkSession.createDataFrame([], pair)
+    while (left := live.count()) > rest:
+        best = live.select(F.explode(F.array("fu", "fv")).alias("f"), "r").groupBy("f").agg(F.min("r").alias("r"))
+        first = best.groupBy("r").agg(F.count("*").alias("n")).where("n = 2").select("r")
+        won = scratch.table(live.join(first, "r", "left_semi").select("u", "v", "fu", "fv"))
+        every = every.unionByName(won.select("u", "v"))
+        moved = won.select(F.explode(F.array(*(F.struct(F.col(f"f{x}").alias("f"), F.col(x).alias("x"), F.least("fu", "fv").alias("new")) for x in "uv"))).alias("m")).select("m.*")
+        after = live
         for x in "uv":
-            m = broadcast_if_small(moved.toDF("__f", "__x", "__new", "__box"))
+            m = moved.toDF("__f", "__x", "__new")
             hit = F.col("__x").eqNullSafe(F.col(x))
             after = after.join(m, F.col(f"f{x}") == F.col("__f"), "left").where(~(hit & F.col(f"s{x}")))
-            after = after.withColumns({f"f{x}": F.coalesce("__new", f"f{x}"), f"s{x}": F.col(f"s{x}") | hit, f"l{x}": F.coalesce("__box", f"l{x}")}).drop("__f", "__x", "__new", "__box")
-        live = scratch.table(after.where("fu <> fv").select(*_EDGE))
-    every = near.sparkSession.createDataFrame([], T.StructType([T.StructField(c, id_type) for c in "uv"]))
-    for t in found:
-        every = every.unionByName(t)
-    return every
-
-
-def stretches(part: pa.Table) -> pa.Table:
-    """Of one region's nodes (id, f, links): the stretches of paths within it.  Each node's stretch, place and f; at place 0 also the stretch's length, last node, and the nodes that follow it before the first and after the last."""
-    part = part.sort_by("id")
-    ids = _flat(part.column("id"))
-    links = _flat(part.column("links"))
-    begin = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(links), 0).to_numpy(zero_copy_only=False))])
-    to = pc.index_in(links.flatten(), value_set=ids)
-    inner, beyond = pc.fill_null(to, -1).to_pylist(), links.flatten()
-    ahead = [[j for j in range(a, b)] for a, b in zip(begin, begin[1:])]
-    seen, first, place, last, outs = bytearray(len(ids)), [0] * len(ids), [0] * len(ids), {}, {}
-    for i in range(len(ids)):
-        mine = [j for j in ahead[i] if inner[j] >= 0]
-        if seen[i] or len(mine) > 1:
-            continue
-        away = [j for j in ahead[i] if inner[j] < 0]
-        here, n = i, 0
-        while True:
-            seen[here], first[here], place[here] = 1, i, n
-            n += 1
-            on = [j for j in ahead[here] if inner[j] >= 0 and not seen[inner[j]]]
-            if not on:
-                break
-            here = inner[on[0]]
-        end = [j for j in ahead[here] if inner[j] < 0]
-        last[i] = (here, n)
-        outs[i] = (away[0] if away else None, end[-1] if end and (here != i or len(away) > 1) else None)
-    heads = [i for i in range(len(ids)) if place[i] == 0]
-    at = {i: n for n, i in enumerate(heads)}
-    which = pa.array([at.get(i) if place[i] == 0 else None for i in range(len(ids))], pa.int64())
-    column = lambda values: values.take(which)
-    ends = ids.take(pa.array([last[i][0] for i in heads], pa.int64()))
-    before, after = (beyond.take(pa.array([outs[i][k] for i in heads], pa.int64())) for k in (0, 1))
-    return pa.table(
-        {
-            "id": ids, "f": _flat(part.column("f")), "seg": ids.take(pa.array(first, pa.int64())), "pos": pa.array(place, pa.int64()),
-            "size": column(pa.array([last[i][1] for i in heads], pa.int64())), "tail": column(ends), "before": column(before), "after": column(after),
-        }
-    )
-
-
-def places(nodes: DataFrame, links: DataFrame, leaves: int, scratch: Scratch, region: int = RANGE) -> DataFrame:
+            after = after.withColumns({f"f{x}": F.coalesce("__new", f"f{x}"), f"s{x}": F.col(f"s{x}") | hit}).drop("__f", "__x", "__new")
+        before, live = live, scratch.table(after.where("fu <> fv"))
+        scratch.drop(before)
+    return every.unionByName(live.groupBy(F.lit(True)).applyInArrow(one_by_one, pair)) if left else every
+
+
+def places(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(f, path, pos): each node's path, named by the smaller of its ends, and place on it from that end."""
-    id_type = nodes.schema["id"].dataType
-    both = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("to")), F.struct(F.col("v").alias("id"), F.col("u").alias("to")))).alias("l")).select("l.*")
-    linked = nodes.join(both.groupBy("id").agg(F.collect_list("to").alias("links")), "id", "left")
-    regions = max(1, -(-nodes.count() // region))
-    linked = linked.select("id", "f", F.coalesce("links", F.array().cast(T.ArrayType(id_type))).alias("links"), F.floor(F.col("leaf").cast("long") * regions / leaves).alias("region"))
-    fields = [("id", id_type), ("f", T.BinaryType()), ("seg", id_type), ("pos", T.LongType()), ("size", T.LongType()), ("tail", id_type), ("before", id_type), ("after", id_type)]
-    cut = scratch.table(linked.groupBy("region").applyInArrow(stretches, T.StructType([T.StructField(n, t) for n, t in fields])))
-    segs = cut.where("pos = 0 and (before is not null or after is not null)")
-    # a port is a side of a stretch that is linked; (seg, side) stands for going through seg, in at that side
-    ports = segs.select("seg", "size", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("seg").alias("here"), F.col("before").alias("there"), F.col("tail").alias("tip")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("here"), F.col("after").alias("there"), F.col("seg").alias("tip")))).alias("p")).select("seg", "size", "p.*")
-    ports = scratch.table(ports)
-    enter = ports.where("there is not null").select(F.col("here").alias("there"), F.col("there").alias("here"), F.col("seg").alias("on"), F.col("side").alias("at"), F.col("size").alias("far"), F.col("tip").alias("end"))
-    out = ports.where("there is not null").select("seg", (1 - F.col("side")).alias("side"), "here", "there").join(enter, ["here", "there"]).select("seg", "side", "on", "at", "far", "end")
-    now = scratch.table(ports.select("seg", "side", F.col("tip").alias("own")).join(out, ["seg", "side"], "left").select("seg", "side", "on", "at", F.coalesce("far", F.lit(0)).alias("far"), F.coalesce("end", "own").alias("end")))
-    while not now.where("on is not null").isEmpty():  # rounds grow with the logarithm of the most stretches on a path
-        then = now.toDF("on", "at", "on2", "at2", "far2", "end2")
-        further = now.where("on is not null").join(then, ["on", "at"]).select("seg", "side", F.col("on2").alias("on"), F.col("at2").alias("at"), (F.col("far") + F.col("far2")).alias("far"), F.col("end2").alias("end"))
-        further = scratch.table(further.unionByName(now.where("on is null")))
+    turned = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("to")), F.struct(F.col("v").alias("id"), F.col("u").alias("to"))))
+    both = scratch.table(links.select(turned.alias("l")).select("l.*"))
+    # (id, came) stands for coming to id from came: far nodes beyond it, up to and with the one that is at, coming from via; via is null at a path's end
+    first = both.select(F.col("to").alias("id"), F.col("id").alias("came"))
+    onward = both.join(first, "id").where("to <> came").select("id", "came", F.col("to").alias("at"), F.col("id").alias("via"), F.lit(1).cast("long").alias("far"))
+    ends = both.groupBy("id").agg(F.count("*").alias("n"), F.min("to").alias("came")).where("n = 1").select("id", "came", F.col("id").alias("at"), F.lit(None).cast(nodes.schema["id"].dataType).alias("via"), F.lit(0).cast("long").alias("far"))
+    now = scratch.table(onward.unionByName(ends))
+    while not (open_ := now.where("via is not null")).isEmpty():  # rounds grow with the logarithm of the longest path
+        then = now.toDF("at", "via", "at2", "via2", "far2")
+        further = open_.join(then, ["at", "via"]).select("id", "came", F.col("at2").alias("at"), F.col("via2").alias("via"), (F.col("far") + F.col("far2")).alias("far"))
+        further = scratch.table(further.unionByName(now.where("via is null")))
         scratch.drop(now)
         now = further
-    found = now.groupBy("seg").agg(*(F.max(F.when(F.col("side") == s, F.struct("far", "end"))).alias(f"r{s}") for s in (0, 1))).select("seg", "r0", "r1")
-    size = segs.select("seg", F.col("size").alias("long"))
-    alone = cut.where("pos = 0 and before is null and after is null").select("seg", F.col("size").alias("long"), F.struct(F.lit(0).cast("long").alias("far"), F.col("tail").alias("end")).alias("r0"), F.struct(F.lit(0).cast("long").alias("far"), F.col("seg").alias("end")).alias("r1"))
-    known = found.join(size, "seg").select("seg", "long", "r0", "r1").unionByName(alone)
-    ahead = F.col("r1.end") <= F.col("r0.end")
-    place = F.when(ahead, F.col("r1.far") + F.col("pos")).otherwise(F.col("r0.far") + F.col("long") - 1 - F.col("pos"))
-    return cut.select("f", "seg", "pos").join(known, "seg").select("f", F.least("r0.end", "r1.end").alias("path"), place.alias("pos"))
+    # a node sees an end of its path beyond each of its links; with one link it is itself the other end
+    other = both.join(now.select(F.col("id").alias("to"), F.col("came").alias("id"), "at", "far"), ["id", "to"]).select("id", "at", (F.col("far") + 1).alias("far"))
+    tips = other.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("at", "far")).alias("near"))
+    tip = F.when((F.col("n") == 2) | (F.col("near.at") < F.col("id")), F.col("near")).otherwise(F.struct(F.col("id").alias("at"), F.lit(0).cast("long").alias("far")))
+    found = tips.select("id", tip.alias("t")).select("id", F.col("t.at").alias("path"), F.col("t.far").alias("pos"))
+    return nodes.select("id", "f").join(found, "id", "left").select("f", F.coalesce("path", "id").alias("path"), F.coalesce("pos", F.lit(0)).alias("pos"))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,11 +430,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     ``path_id`` is the document at the path's beginning.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    profile, nodes, leaves = boxes(docs, id_col, text_col, leaf, scratch)
+    profile, nodes, _ = boxes(docs, id_col, text_col, leaf, scratch)
     nodes = scratch.table(nodes)
     near = scratch.table(neighbours(nodes, k, PROBES, scratch))
-    links = scratch.table(taken(near, leaves, scratch))
-    placed = scratch.table(places(nodes, links, leaves, scratch))
+    links = scratch.table(taken(near, scratch))
+    placed = scratch.table(places(nodes, links, scratch))
     return windows(spread(profile, placed, scratch), window, scratch)
 
 

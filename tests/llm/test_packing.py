@@ -46,7 +46,7 @@ def graph(docs, leaf, spark):
 def test_neighbours_are_exact_whatever_the_boxes(spark, make):
     rows = corpus()
     for leaf in (1000, 40):
-        nodes, near, leaves = graph(make(rows).repartition(3), leaf, spark)
+        _, near, leaves = graph(make(rows).repartition(3), leaf, spark)
         assert (leaves > 1) == (leaf == 40)
         assert {r.id: [(e.d, e.id) for e in r.near] for r in near.collect()} == brute_neighbours(nodes_of(rows)[0], p.NEIGHBOURS)
 
@@ -115,18 +115,24 @@ def brute_plan(rows, window):
     return sorted(out)
 
 
-def test_paths_are_those_of_the_whole_graph_whatever_the_regions(spark, make):
-    rows = corpus(400)
-    nodes, near, leaves = graph(make(rows), 20, spark)
+def test_paths_are_those_of_the_whole_graph_in_rounds_or_one_by_one(spark, make):
+    nodes, near, _ = graph(make(corpus(300)), 20, spark)
     wanted = {r.id: [(e.d, e.id) for e in r.near] for r in near.collect()}
     edges, _ = brute_joined(wanted)
     place = brute_places(wanted, edges)
     profile = {bytes(r.f): r.id for r in nodes.collect()}
-    for region, span in ((p.EDGES, p.RANGE), (300, 100), (40, 15)):
+    for rest in (p.REST, 300, 0):
         scratch = Scratch(spark)
-        links = scratch.table(p.taken(near, leaves, scratch, region))
+        links = scratch.table(p.taken(near, scratch, rest))
         assert sorted(map(tuple, links.collect())) == sorted(edges)
-        assert {profile[bytes(r.f)]: (r.path, r.pos) for r in p.places(nodes, links, leaves, scratch, span).collect()} == place
+        assert {profile[bytes(r.f)]: (r.path, r.pos) for r in p.places(nodes, links, scratch).collect()} == place
+
+
+def test_names_may_be_texts(make):
+    rows = [(f"d{i:03d}", t) for i, t in corpus(60)]
+    got = p.pack(make(rows, "doc_id string, text string"), window=64).collect()
+    want = {r[2:] for r in brute_plan([(int(i[1:]), t) for i, t in rows], 64)}
+    assert {(int(r.doc_id[1:]), int(r.path_id[1:]), r.word_start, r.word_end) for r in got} == want
 
 
 def test_the_whole_query_equals_brute_force_whatever_the_boxes(make):
