@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..storage import broadcast_if_small
+from ..storage import broadcast_if_small, written
 
 #: Only these predicates say that two entities may share a class.
 MAPPING_PREDICATES = tuple(terms.SKOS + m for m in ("exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedMatch")) + (terms.OWL + "sameAs", terms.RDFS + "seeAlso")
@@ -27,18 +27,15 @@ def evidence(edges: DataFrame, index: DataFrame, confidence: Callable[[Column],
     index = index.select("entity", "graph", "class")
     source = index.select(F.col("entity").alias("source"), F.col("graph").alias("sg"), F.col("class").alias("source_class"))
     target = index.select(F.col("entity").alias("target"), F.col("graph").alias("tg"), F.col("class").alias("target_class"))
-    met = edges.select("source", "predicate", "target").join(source, "source").join(target, "target")
     pair = ["source_class", "target_class"]
-    common = met.groupBy(*pair, "predicate").agg(F.count("*").alias("n")).groupBy(*pair).agg(F.min(F.struct((-F.col("n")).alias("n"), "predicate")).alias("top")).select(*pair, "top.predicate")
-    found = met.groupBy(*pair).agg(
-        F.count("*").alias("instance_count"),
-        F.countDistinct("source", "predicate", "target").alias("distinct_edges"),
-        F.countDistinct("source").alias("distinct_sources"),
-        F.countDistinct("target").alias("distinct_targets"),
-        F.array_join(F.sort_array(F.collect_set("sg")), ", ").alias("source_graphs"),
-        F.array_join(F.sort_array(F.collect_set("tg")), ", ").alias("target_graphs"),
-    )
-    return found.join(common, pair).withColumn("confidence", confidence(F.col("instance_count")))
+    met = edges.select("source", "predicate", "target").join(source, "source").join(target, "target")
+    met = written(met.groupBy(*pair, "predicate", "source", "target").agg(F.count("*").alias("n"), F.collect_set("sg").alias("sg"), F.collect_set("tg").alias("tg")))  # once for each edge and pair
+    graphs = lambda c: F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))), ", ")
+    per = met.groupBy(*pair, "predicate").agg(F.sum("n").alias("n"), F.count("*").alias("edges"), graphs("sg").alias("sg"), graphs("tg").alias("tg"))
+    joint = lambda c: F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.split(c, ", "))))), ", ")
+    found = per.groupBy(*pair).agg(F.sum("n").alias("instance_count"), F.sum("edges").alias("distinct_edges"), joint("sg").alias("source_graphs"), joint("tg").alias("target_graphs"), F.min(F.struct((-F.col("n")).alias("n"), "predicate"))["predicate"].alias("predicate"))
+    ends = [met.select(*pair, end).distinct().groupBy(*pair).agg(F.count("*").alias(f"distinct_{end}s")) for end in ("source", "target")]
+    return found.join(ends[0], pair).join(ends[1], pair).select(*pair, "instance_count", "distinct_edges", "distinct_sources", "distinct_targets", "source_graphs", "target_graphs", "predicate").withColumn("confidence", confidence(F.col("instance_count")))
 
 
 def derive(found: DataFrame, min_instance_count: int = 1, min_confidence: float = 0.0) -> DataFrame:

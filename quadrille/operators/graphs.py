@@ -5,9 +5,10 @@ Edges are (a, b, weight) with a < b.  Pattern tables have (dataset, subject_clas
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,21 @@ from ..functions import terms
 from ..storage import broadcast_if_small, written
 
 
+def multigraph(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices (id, label), edges (src, dst, predicate, count)) of the patterns whose object is a class; a vertex's first label by name holds."""
+    typed = patterns.where(~F.col("object_class").isin(*terms.SENTINELS))
+    label = lambda c: F.col(c) if c in patterns.columns else F.lit(None).cast("string")
+    ends = typed.select(F.explode(F.array(F.struct(F.col("subject_class").alias("id"), label("subject_label").alias("label")), F.struct(F.col("object_class").alias("id"), label("object_label").alias("label")))).alias("v")).select("v.*")
+    vertices = ends.groupBy("id").agg(F.coalesce(F.min("label"), terms.local_name(F.col("id"))).alias("label"))
+    return vertices, typed.select(F.col("subject_class").alias("src"), F.col("object_class").alias("dst"), F.col("property_uri").alias("predicate"), "count")
+
+
+def mapping_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices (id, dataset), edges (src, dst, predicate, confidence)) of mapping edges; the first dataset by name holds."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source_class").alias("id"), F.col("source_dataset").alias("dataset")), F.struct(F.col("target_class").alias("id"), F.col("target_dataset").alias("dataset")))).alias("v")).select("v.*")
+    return ends.groupBy("id").agg(F.min("dataset").alias("dataset")), edges.select(F.col("source_class").alias("src"), F.col("target_class").alias("dst"), "predicate", "confidence")
+
+
 def class_datasets(patterns: DataFrame) -> DataFrame:
     """Distinct (class, dataset) of the subject classes."""
     return patterns.select(F.col("subject_class").alias("class"), "dataset").distinct()
@@ -51,9 +67,10 @@ def added(*layers: DataFrame) -> DataFrame:
 
 def layered(schema: DataFrame, raw: DataFrame, inferred: DataFrame) -> DataFrame:
     """(layer, a, b, weight): each layer holds the ones before it."""
-    first, second = schema, added(schema, raw)
-    third = added(schema, raw, inferred)
-    return reduce(DataFrame.unionByName, (g.withColumn("layer", F.lit(n)) for n, g in (("schema", first), ("raw", second), ("inferred", third)))).select("layer", "a", "b", "weight")
+    names = F.array(*(F.lit(n) for n in ("schema", "raw", "inferred")))
+    one = reduce(DataFrame.unionByName, (g.select("a", "b", "weight", F.lit(i).alias("i")) for i, g in enumerate((schema, raw, inferred))))
+    in_all = one.select(F.explode(F.slice(names, F.col("i") + 1, F.lit(3))).alias("layer"), "a", "b", "weight")  # a weight counts in its layer and in those after it
+    return in_all.groupBy("layer", "a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def new_pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -100,9 +117,9 @@ def ranked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, components, size and diameter of the largest, density to four places.
 
-    The diameter is that of one component of datasets, so its breadth-first search from every node runs on
-    one worker.
+    The searches for the diameter, one from every node of the largest component, are spread over the workers.
     """
+    edges = written(edges)
     ranked = ranked_components(nodes, edges)
     totals = ranked.agg(F.count("*").alias("n_nodes"), F.countDistinct("component").alias("n_components"), F.max("size").alias("largest_component"))
     count = edges.agg(F.count("*").alias("n_edges"))
@@ -112,45 +129,76 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return totals.crossJoin(count).crossJoin(longest).select("n_nodes", "n_edges", "n_components", "largest_component", "diameter", F.round(F.when(n > 1, 2 * F.col("n_edges") / (n * (n - 1))).otherwise(0.0), 4).alias("density"))
 
 
-def central(edges: DataFrame, with_betweenness: bool = True) -> DataFrame:
-    """(node, eccentricity, betweenness): hops to the farthest node in reach; normalised betweenness over hops (Brandes 2001).
+#: A graph of datasets has at most so many edges; each worker holds them all.
+DATASET_EDGES = 1 << 20
 
-    For graphs of datasets, hundreds of nodes: the edges are one group on one worker.
-    """
 
-    def run(pdf):
-        import pandas as pd
-
-        near: dict = {}
-        for a, b in zip(pdf.a, pdf.b):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        score, far = dict.fromkeys(near, 0.0), {}
-        for s in sorted(near):
-            depth, paths, order, before = {s: 0}, {s: 1.0}, [], {v: [] for v in near}
-            queue = deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in sorted(near[v]):
-                    if w not in depth:
-                        depth[w], paths[w] = depth[v] + 1, 0.0
-                        queue.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            far[s] = max(depth.values())
-            owed = dict.fromkeys(order, 0.0)
-            for w in reversed(order if with_betweenness else []):
-                for v in before[w]:
-                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                if w != s:
-                    score[w] += owed[w]
-        n = len(near)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-        return pd.DataFrame({"node": sorted(near), "eccentricity": [far[v] for v in sorted(near)], "betweenness": [score[v] * scale for v in sorted(near)]})
-
-    return edges.select("a", "b", F.lit(1).alias("all")).groupBy("all").applyInPandas(run, "node string, eccentricity bigint, betweenness double")
+def central(edges: DataFrame, with_betweenness: bool = True, weighted: bool = False) -> DataFrame:
+    """(node, eccentricity, betweenness): hops to the farthest node in reach; normalised betweenness (Brandes 2001),
+    over hops or, if ``weighted``, over paths of least weight.
+
+    For graphs of datasets: edges go to every worker, and beyond ``DATASET_EDGES`` are an error; the searches, one from
+    each node, are spread over the workers and their sums added up.
+    """
+    spark = edges.sparkSession
+    rows = edges.select("a", "b", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("w")).where("a <> b").limit(DATASET_EDGES + 1).collect()
+    if len(rows) > DATASET_EDGES:
+        raise ValueError(f"a graph of datasets has at most {DATASET_EDGES} edges")
+    near: dict[str, dict[str, float]] = {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    sent = spark.sparkContext.broadcast(near)
+
+    def search(batches):
+        known, total, far = sent.value, {}, {}
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                far[s], owed = _from(known, s, weighted) if with_betweenness else (_hops(known, s), {})
+                for v, x in owed.items():
+                    total[v] = total.get(v, 0.0) + x
+        columns = [*far, *total], [*far.values(), *(None for _ in total)], [*(0.0 for _ in far), *total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()))], ["node", "far", "owed"])
+
+    n = len(near)
+    nodes = spark.createDataFrame([(x,) for x in sorted(near)], "node string").repartition(max(1, min(n, spark.sparkContext.defaultParallelism)), "node")
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return nodes.mapInArrow(search, "node string, far bigint, owed double").groupBy("node").agg(F.max("far").alias("eccentricity"), (F.sum("owed") * scale).alias("betweenness"))
+
+
+def _hops(near: dict, s: str) -> int:
+    depth, level, seen = 0, [s], {s}
+    while True:
+        level = [w for w in {w for v in level for w in near[v]} if w not in seen]
+        if not level:
+            return depth
+        seen.update(level)
+        depth += 1
+
+
+def _from(near: dict, s: str, weighted: bool) -> tuple[int, dict[str, float]]:
+    """(hops to the farthest node, what each node has of the lightest paths from s)."""
+    cost, paths, before, order, queue = {s: 0.0}, {s: 1.0}, {s: []}, [], [(0.0, s)]
+    done = set()
+    while queue:
+        c, v = heapq.heappop(queue)
+        if v in done:
+            continue
+        done.add(v)
+        order.append(v)
+        for w, weight in near[v].items():
+            further = c + weight
+            if w not in cost or further < cost[w]:
+                cost[w], paths[w], before[w] = further, paths[v], [v]
+                heapq.heappush(queue, (further, w))
+            elif further == cost[w] and w not in done:
+                paths[w] += paths[v]
+                before[w].append(v)
+    owed = dict.fromkeys(order, 0.0)
+    for w in reversed(order):
+        for v in before[w]:
+            owed[v] += paths[v] / paths[w] * (1 + owed[w])
+    owed.pop(s)
+    return _hops(near, s), owed
 
 
 def hub_classes(patterns: DataFrame) -> DataFrame:
@@ -201,5 +249,5 @@ def adjacency(edges: DataFrame, top: int = 20) -> DataFrame:
     """The matrix of weights among the ``top`` nodes by weighted degree."""
     chosen = degrees(edges).orderBy(F.desc("weighted_degree"), "node").limit(top).select("node")
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
-    kept = both.join(F.broadcast(chosen), "node", "left_semi").join(F.broadcast(chosen.withColumnRenamed("node", "other")), "other", "left_semi")
-    return kept.groupBy("node").pivot("other", sorted(r.node for r in chosen.collect())).sum("weight").na.fill(0)
+    names = sorted(r.node for r in chosen.collect())  # at most ``top``
+    return both.where(F.col("node").isin(names) & F.col("other").isin(names)).groupBy("node").pivot("other", names).sum("weight").na.fill(0)

@@ -12,6 +12,13 @@ from . import mining
 RESOLVERS = "bioregistry\\.io|n2t\\.net|identifiers\\.org"
 
 
+def prefix_map(registry: DataFrame) -> DataFrame:
+    """(prefix, ns) in lower case from a registry (prefix, ns, synonyms, priority): a name that several entries claim is the one's that has it as its own, then of least priority, then of first namespace."""
+    own = registry.select(F.lower("prefix").alias("prefix"), F.struct(F.lit(0).alias("rank"), "priority", "ns").alias("r"))
+    more = registry.select(F.explode("synonyms").alias("name"), "priority", "ns").select(F.lower("name").alias("prefix"), F.struct(F.lit(1).alias("rank"), "priority", "ns").alias("r"))
+    return own.unionByName(more).groupBy("prefix").agg(F.min("r").alias("r")).select("prefix", "r.ns")
+
+
 def longest_prefix(iris: DataFrame, prefixes: DataFrame, column: str = "iri") -> DataFrame:
     """iris with (prefix, ns, resource) of the longest namespace each starts with; null when none does.
 

@@ -23,6 +23,25 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(*EDGE).agg(F.min_by(F.struct(*rest), F.struct("rank", *(F.col(c).isNull() for c in rest), *rest)).alias("r")).select(*EDGE, "r.*")
 
 
+#: What each strategy says of itself in a mapping document beside its name: (required, optional) fields.
+PROVENANCE = {
+    "instance_matcher": (("resource",), ("uri_formats_queried",)),
+    "sssom_import": (("sssom_source", "sssom_file"), ("mapping_set_id", "mapping_set_title", "license", "curie_map")),
+    "semra_import": (("semra_source",), ("semra_prefix", "evidence")),
+    "inferenced": (("inference_types", "source_files"), ("evidence", "stats")),
+    "class_derived": (("source_mapping_type", "source_files"), ("derivation_stats", "enrichment_stats", "class_index_endpoint")),
+}
+
+
+def about(strategy: str, **fields) -> dict:
+    """The provenance of a mapping document; a required field that is missing, or one that the strategy doesn't have, is an error."""
+    required, optional = PROVENANCE[strategy]
+    lacking, odd = [f for f in required if fields.get(f) is None], sorted(set(fields) - {*required, *optional})
+    if lacking or odd:
+        raise ValueError(f"{strategy}: " + "; ".join([f"needs {', '.join(lacking)}"] * bool(lacking) + [f"doesn't have {', '.join(odd)}"] * bool(odd)))
+    return {"strategy": strategy} | {f: fields[f] for f in (*required, *optional) if fields.get(f) not in (None, [], {}, "")}
+
+
 def ordered_union(existing: list[str], new: list[str]) -> list[str]:
     """existing, then what new adds, in order."""
     return list(dict.fromkeys([*existing, *new]))

@@ -85,8 +85,14 @@ def untyped_uri_patterns(quads: DataFrame, scope: Scope = None, only: DataFrame
     return _links(linked, of, graph, "untyped")
 
 
-def mine(quads: DataFrame, scope: Scope = None, only: DataFrame | None = None, untyped_as_classes: bool = False) -> DataFrame:
-    """All patterns with counts in one plan: (subject_class, property_uri, object_class, datatype, count)."""
+def mine(quads: DataFrame, scope: Scope = None, only: DataFrame | None = None, untyped_as_classes: bool = False, properties: Sequence[str] | None = None) -> DataFrame:
+    """All patterns with counts in one plan: (subject_class, property_uri, object_class, datatype, count).
+
+    ``properties`` limits mining to these; the filter reaches the scan, and types are read whatever they are.
+    """
+    if properties is not None:
+        found = mine(quads.where(F.col("p").isin(list(properties)) | (F.col("p") == terms.TYPE)), scope, only, untyped_as_classes)
+        return found.where(F.col("property_uri").isin(list(properties)))
     literal, linked, of, graph = _parts(quads, scope, only)
     found = _literal(literal).unionByName(_links(linked, of, graph, "all"))
     if untyped_as_classes:
@@ -159,6 +165,16 @@ def schema_properties(patterns: DataFrame) -> DataFrame:
     return patterns.select("property_uri").distinct().orderBy("property_uri")
 
 
+def dropped_sample(patterns: DataFrame, n: int = 20) -> DataFrame:
+    """The first n of the patterns that aren't valid, by name."""
+    return split_valid(patterns)[1].orderBy(*KEY).limit(n)
+
+
+def class_count_page(counts: DataFrame, offset: int, size: int) -> DataFrame:
+    """A page of classes, those with most instances first, ties by name."""
+    return counts.orderBy(F.desc("instances"), "class").offset(offset).limit(size)
+
+
 def _sound(patterns: DataFrame) -> Column:
     return terms.is_iri(F.col("subject_class")) & terms.is_iri(F.col("property_uri")) & (F.col("object_class").isin(*terms.SENTINELS) | terms.is_iri(F.col("object_class")))
 

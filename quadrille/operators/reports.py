@@ -83,6 +83,43 @@ def histogram(table: DataFrame, column: str, bins: int, low: float, high: float,
     return table.where(F.col(column).isNotNull()).groupBy(F.width_bucket(value, F.lit(float(low)), F.lit(float(high)), F.lit(bins)).cast("bigint").alias("bin")).agg(F.count("*").alias("n")).orderBy("bin")
 
 
+def numbers(table: DataFrame, columns: list[str], fill: float | None = 0.0) -> DataFrame:
+    """table with the columns as numbers: what isn't one becomes ``fill``, or null and its row goes if fill is None."""
+    out = table.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
+    return out.na.drop(subset=columns) if fill is None else out.na.fill(fill, subset=columns)
+
+
+def dummy(table: DataFrame, column: str, value: str, name: str) -> DataFrame:
+    """table with 1.0 where the column has the value, else 0.0."""
+    return table.withColumn(name, F.coalesce((F.col(column) == value).cast("double"), F.lit(0.0)))
+
+
+def with_triples(reports: DataFrame, counts: DataFrame) -> DataFrame:
+    """reports with the number of triples of their dataset, null where it isn't known."""
+    return reports.join(counts, "dataset", "left")
+
+
+def described(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, count, mean, std, min, max) in one aggregation."""
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = table.agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in parts.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{n}_{c}").alias(n) for n in parts)) for c in columns))).alias("r")).select("r.*")
+
+
+def compression(table: DataFrame, before: str, after: str, thresholds: list[float]) -> DataFrame:
+    """(threshold, n, share): how many rows reach each ratio of before to after, and their share in percent."""
+    ratio = F.when(F.col(after) > 0, F.col(before) / F.col(after))
+    one = table.agg(F.count("*").alias("all"), *(F.count_if(ratio >= t).alias(f"n{i}") for i, t in enumerate(thresholds)))
+    rows = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"n{i}").alias("n")) for i, t in enumerate(thresholds))))
+    return one.select("all", rows.alias("r")).select("r.threshold", "r.n", F.round(100 * F.col("r.n") / F.col("all"), 2).alias("share"))
+
+
+def flattened(sessions: DataFrame, *structs: str) -> DataFrame:
+    """sessions with the fields of the structs as columns of their own, named struct_field."""
+    plain = [F.col(c) for c in sessions.columns if c not in structs]
+    return sessions.select(*plain, *(F.col(f"{s}.{f.name}").alias(f"{s}_{f.name}") for s in structs for f in sessions.schema[s].dataType.fields))
+
+
 def richness(patterns: DataFrame) -> DataFrame:
     """One row: classes, properties, typed links, literals, and patterns with a label."""
     return patterns.agg(F.countDistinct("subject_class").alias("n_classes"), F.countDistinct("property_uri").alias("n_properties"), F.count_if(~F.col("object_class").isin(*terms.SENTINELS)).alias("n_links"), F.count_if(F.col("object_class") == "Literal").alias("n_literals"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..storage import written
+from ..storage import exists, new_folder
 
 BASE, VOC, GRAPH = "http://data.example.org/", "http://voc.example.org/trade#", "http://data.example.org/graph/"
 _LABEL = terms.RDFS + "label"
@@ -55,20 +55,23 @@ def unstored_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.repartition("s").distinct()
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table written once in a session: queries that share an input don't derive it again."""
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table written once in a session: queries that share an input don't derive it again.  One whose folder is gone is made anew."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = written(make())
-    return _kept[key]
+    if key not in _kept or not exists(spark, _kept[key][0]):
+        path = new_folder(spark)
+        df = make()
+        df.write.parquet(path)
+        _kept[key] = path, spark.read.schema(df.schema).parquet(path)
+    return _kept[key][1]
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored quads; rows of a predicate lie together so that scans for one skip the rest."""
-    return _once(spark, sf_dir, "quads", lambda: unstored_quads(spark, sf_dir).sortWithinPartitions("p", "s"))
+    return once(spark, sf_dir, "quads", lambda: unstored_quads(spark, sf_dir).sortWithinPartitions("p", "s"))
 
 
 def prefixes(spark: SparkSession) -> DataFrame:

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..operators import graphs, mining
 from . import dataset
 from .mapping_queries import _ALL, _edges
-from .mining_queries import BY_DATASET
+from .mining_queries import BY_DATASET, by_dataset
 from .registry import query, sql
 
 _B = dataset.BASE
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.mine_datasets(dataset.quads(spark, sf_dir))
+    return by_dataset(spark, sf_dir)
+
+
+def _schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.once(spark, sf_dir, "schema edges", lambda: graphs.weights(graphs.schema_links(_patterns(spark, sf_dir))))
 
 
 _WHERE = "cds AS (SELECT DISTINCT subject_class AS class_, dataset FROM dpatterns)"
@@ -37,7 +41,7 @@ def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     patterns = _patterns(spark, sf_dir)
     where, edges = graphs.class_datasets(patterns), _edges(spark, sf_dir)
     of = lambda strategy: graphs.weights(graphs.mapping_links(edges.where(F.col("strategy") == strategy), where))
-    return graphs.weights(graphs.schema_links(patterns)), of("instance_matcher"), of("class_derived")
+    return _schema_edges(spark, sf_dir), of("instance_matcher"), of("class_derived")
 
 
 _MAPPED = "mlinks AS (SELECT strategy, least(s.dataset, t.dataset) AS a, greatest(s.dataset, t.dataset) AS b FROM mapping JOIN cds s ON s.class_ = source_class JOIN cds t ON t.class_ = target_class WHERE s.dataset <> t.dataset)"
@@ -63,7 +67,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT DISTINCT g AS node FROM quads WHERE g NOT IN (SELECT a FROM links UNION SELECT b FROM links)", *_SCHEMA))
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.isolated(_nodes(spark, sf_dir), graphs.weights(graphs.schema_links(_patterns(spark, sf_dir))))
+    return graphs.isolated(_nodes(spark, sf_dir), _schema_edges(spark, sf_dir))
 
 
 @query(sql('SELECT class_ AS "class", count(*) AS n_datasets FROM cds GROUP BY class_ HAVING count(*) > 1', *_SCHEMA))
@@ -81,7 +85,7 @@ _REACH = "ends AS (SELECT DISTINCT a AS u, b AS v FROM links UNION SELECT b, a F
 
 @query(sql("SELECT node, component::INTEGER AS component, size FROM rooted JOIN sized USING (root)", *_SCHEMA, _REACH, recursive=True))
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.ranked_components(_nodes(spark, sf_dir), graphs.weights(graphs.schema_links(_patterns(spark, sf_dir))))
+    return graphs.ranked_components(_nodes(spark, sf_dir), _schema_edges(spark, sf_dir))
 
 
 _METRICS = """SELECT n_nodes, n_edges, n_components, largest_component, diameter, round(2 * n_edges / (n_nodes * (n_nodes - 1)), 4) AS density FROM
@@ -91,7 +95,7 @@ _METRICS = """SELECT n_nodes, n_edges, n_components, largest_component, diameter
 
 @query(sql(_METRICS, *_SCHEMA, _REACH, recursive=True))
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.metrics(_nodes(spark, sf_dir), graphs.weights(graphs.schema_links(_patterns(spark, sf_dir))))
+    return graphs.metrics(_nodes(spark, sf_dir), _schema_edges(spark, sf_dir))
 
 
 @query(sql(f"SELECT s AS node, o AS root FROM quads WHERE p = '{dataset.VOC}byCustomer' UNION SELECT o, o FROM quads WHERE p = '{dataset.VOC}byCustomer'"))
@@ -103,6 +107,10 @@ def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.once(spark, sf_dir, "trade", lambda: _traded(spark, sf_dir))
+
+
+def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a, b, weight): the lines sold between suppliers of one nation and customers of another."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     bought = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("cn"))
@@ -121,10 +129,18 @@ def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.degrees(_trade(spark, sf_dir))
 
 
-@query()
+#: Every path without a node twice, from which the lightest of each pair are counted.
+_WALKS = """wedges AS (SELECT a, b, count(*) AS w FROM links GROUP BY a, b), both_ends AS (SELECT a AS u, b AS v, w FROM wedges UNION ALL SELECT b, a, w FROM wedges),
+walks AS (SELECT u AS src, v AS dst, w AS cost, [u, v] AS path FROM both_ends UNION ALL SELECT p.src, e.v, p.cost + e.w, list_append(p.path, e.v) FROM walks p JOIN both_ends e ON p.dst = e.u WHERE NOT list_contains(p.path, e.v)),
+lightest AS (SELECT w.* FROM walks w JOIN (SELECT src, dst, min(cost) AS cost FROM walks GROUP BY ALL) USING (src, dst, cost)),
+through AS (SELECT x AS node, sum(n / total) AS owed FROM (SELECT src, dst, x, count(*) AS n FROM lightest, unnest(path) AS t(x) WHERE x <> src AND x <> dst GROUP BY ALL) JOIN (SELECT src, dst, count(*) AS total FROM lightest GROUP BY ALL) USING (src, dst) GROUP BY x)"""
+
+
+@query(sql("""SELECT src AS node, max(hops)::BIGINT AS eccentricity, round(coalesce(any_value(owed), 0) / greatest(1, (SELECT (count(DISTINCT src) - 1) * (count(DISTINCT src) - 2) FROM walks)), 6) AS betweenness
+  FROM (SELECT src, dst, min(len(path)) - 1 AS hops FROM walks GROUP BY ALL) LEFT JOIN through ON node = src GROUP BY src""", *_SCHEMA, _WALKS, recursive=True))
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eccentricity and betweenness in the graph of schema links; tested against counted paths."""
-    return graphs.central(graphs.weights(graphs.schema_links(_patterns(spark, sf_dir))))
+    """Eccentricity in hops and betweenness by weight in the graph of schema links."""
+    return graphs.central(_schema_edges(spark, sf_dir), weighted=True).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import derive, graphs, lookup, mappings, mining
 from . import dataset
-from .mining_queries import BY_DATASET
+from .mining_queries import BY_DATASET, by_dataset
 from .registry import query, sql
 
 _B = dataset.BASE
@@ -60,12 +60,12 @@ def iri_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.class_index(dataset.quads(spark, sf_dir), _entities(spark, sf_dir), dataset.prefixes(spark))
+    return dataset.once(spark, sf_dir, "class index", lambda: class_index(spark, sf_dir))
 
 
 @query(sql("SELECT * FROM eindex", *_LOOKUP))
 def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)
+    return lookup.class_index(dataset.quads(spark, sf_dir), _entities(spark, sf_dir), dataset.prefixes(spark))
 
 
 @query(sql("SELECT entity, array_to_string(list_sort(list(DISTINCT graph)), ', ') AS graphs, array_to_string(list_sort(list(DISTINCT \"class\")), ', ') AS all_classes FROM eindex GROUP BY entity", *_LOOKUP))
@@ -102,12 +102,12 @@ _PEDGES = f"""pedges AS (SELECT resource, ac AS source_class, bc AS target_class
 
 
 def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.probe(dataset.quads(spark, sf_dir), dataset.prefixes(spark))
+    return dataset.once(spark, sf_dir, "hits", lambda: lookup.probe(dataset.quads(spark, sf_dir), dataset.prefixes(spark)))
 
 
 @query(sql("SELECT * FROM phits", dataset.PREFIXES_SQL, _HITS))
 def probe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _probed(spark, sf_dir)
+    return lookup.probe(dataset.quads(spark, sf_dir), dataset.prefixes(spark))
 
 
 @query(sql("SELECT * FROM pedges", dataset.PREFIXES_SQL, _HITS, _MINIMAL, _PEDGES))
@@ -126,6 +126,10 @@ def resolved_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.once(spark, sf_dir, "evidence", lambda: _found(spark, sf_dir))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = mining.types(dataset.quads(spark, sf_dir), [dataset.GRAPH + g for g in ("places", "sales", "supply", "web", "kinds")])
     index = typed.select(F.col("s").alias("entity"), F.col("g").alias("graph"), F.col("c").alias("class"))
     return derive.evidence(derive.mapping_edges(dataset.instance_edges(spark, sf_dir)), index)
@@ -141,7 +145,7 @@ _DERIVE = (dataset.EDGES_SQL, _MET, _COMMON, _EVIDENCE)
 
 @query(sql("SELECT * REPLACE (round(confidence, 6) AS confidence) FROM evidence", *_DERIVE))
 def derive_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evidence(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+    return _found(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(sql("SELECT source_class, target_class, instance_count, round(confidence, 6) AS confidence FROM evidence WHERE instance_count >= 3 AND confidence >= 0.2 ORDER BY evidence.confidence DESC, source_class, target_class LIMIT 20", *_DERIVE))
@@ -161,6 +165,10 @@ def derive_predicate_distribution(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived and probed mapping edges, together."""
+    return dataset.once(spark, sf_dir, "mapping edges", lambda: _both(spark, sf_dir))
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = lookup.probe_edges(_probed(spark, sf_dir)).withColumn("strategy", F.lit("instance_matcher"))
     return mappings.valid(derive.to_mapping(_evidence(spark, sf_dir)).unionByName(probed.drop("resource"), allowMissingColumns=True))
 
@@ -182,7 +190,7 @@ def mapping_predicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT least(s.dataset, t.dataset) AS a, greatest(s.dataset, t.dataset) AS b, count(*) AS weight FROM mapping JOIN (SELECT DISTINCT dataset, subject_class FROM dpatterns) s ON s.subject_class = source_class JOIN (SELECT DISTINCT dataset, subject_class FROM dpatterns) t ON t.subject_class = target_class WHERE s.dataset <> t.dataset GROUP BY ALL", *_ALL, BY_DATASET))
 def dataset_pair_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = graphs.class_datasets(mining.mine_datasets(dataset.quads(spark, sf_dir)))
+    where = graphs.class_datasets(by_dataset(spark, sf_dir))
     return graphs.weights(graphs.mapping_links(_edges(spark, sf_dir), where))
 
 

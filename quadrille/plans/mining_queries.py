@@ -31,12 +31,17 @@ _EMPTY_SCOPE = [dataset.GRAPH + "kinds"]
 
 
 def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.mine(dataset.quads(spark, sf_dir))
+    """The patterns, stored once for the queries that start from them."""
+    return dataset.once(spark, sf_dir, "patterns", lambda: mining.mine(dataset.quads(spark, sf_dir)))
+
+
+def by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.once(spark, sf_dir, "patterns by dataset", lambda: mining.mine_datasets(dataset.quads(spark, sf_dir)))
 
 
 @query(sql("SELECT * FROM patterns", PATTERNS))
 def mine_patterns_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mined(spark, sf_dir)
+    return mining.mine(dataset.quads(spark, sf_dir))
 
 
 @query(sql("SELECT * FROM patterns", PATTERNS))
@@ -188,12 +193,12 @@ def void_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f'SELECT DISTINCT subject_class, property_uri, {_VOID_CLASS} AS object_class, datatype AS object_datatype, "count" AS triples FROM patterns', PATTERNS))
 def void_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return void.partitions(void.describe(dataset.quads(spark, sf_dir), _BASE))
+    return void.partitions(void.to_triples(mined(spark, sf_dir), _BASE))
 
 
 @query(sql("SELECT * FROM patterns", PATTERNS))
 def void_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return void.from_triples(void.describe(dataset.quads(spark, sf_dir), _BASE))
+    return void.from_triples(void.to_triples(mined(spark, sf_dir), _BASE))
 
 
 _COVERED = f"""covered AS (
@@ -210,7 +215,7 @@ def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT count(*) AS n_patterns, count(DISTINCT subject_class) AS n_classes, count(DISTINCT property_uri) AS n_properties, round(avg(coverage_percent), 4) AS mean_coverage, count(*) FILTER (coverage_percent > 50) AS above_half FROM covered", _COVERED))
 def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return void.coverage_summary(void.coverage(dataset.quads(spark, sf_dir)))
+    return void.coverage_summary(dataset.once(spark, sf_dir, "coverage", lambda: void.coverage(dataset.quads(spark, sf_dir))))
 
 
 @query(sql(f"SELECT count(DISTINCT subject_class) AS n_classes, count(DISTINCT property_uri) AS n_properties, count(*) FILTER ({_TYPED}) AS n_links, count(*) FILTER ({_LITERAL}) AS n_literals FROM patterns", PATTERNS))
@@ -224,6 +229,6 @@ _A, _B = ("(SELECT DISTINCT subject_class AS n FROM dpatterns WHERE dataset = '"
 @query(sql(f"""SELECT count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) AS common, count(*) FILTER (b.n IS NULL) AS only_first, count(*) FILTER (a.n IS NULL) AS only_second,
   array_to_string(list_sort(list(a.n) FILTER (b.n IS NULL))[1:3], ', ') AS first_examples, array_to_string(list_sort(list(b.n) FILTER (a.n IS NULL))[1:3], ', ') AS second_examples FROM {_A} a FULL JOIN {_B} b USING (n)""", BY_DATASET))
 def schema_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mining.mine_datasets(dataset.quads(spark, sf_dir))
+    found = by_dataset(spark, sf_dir)
     of = lambda g: found.where(F.col("dataset") == dataset.GRAPH + g)
     return reports.compare(of("supply"), of("web")).withColumns({c: F.array_join(c, ", ") for c in ("first_examples", "second_examples")})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import terms
+from ..storage import broadcast_if_small
 
 TEXT = ["name", "endpoint", "void_iri", "description", "license", "homepage", "domain", "endpoint_down", "sparql_engine", "sparql_strategy", "void_uri_base", "local_provider", "prefix", "logo", "version"]
 LISTS = ["graph_uris", "keywords", "downloads", "synonyms"]
@@ -98,7 +99,7 @@ def usable(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 def on_ports(sources: DataFrame, ports: dict[str, int]) -> DataFrame:
     """The sources with a local port, which becomes their endpoint."""
     table = sources.sparkSession.createDataFrame(list(ports.items()) or [("", 0)], "name string, port int")
-    return sources.drop("endpoint").join(F.broadcast(table), "name").withColumn("endpoint", F.concat(F.lit("http://localhost:"), F.col("port").cast("string"))).drop("port")
+    return sources.drop("endpoint").join(broadcast_if_small(table), "name").withColumn("endpoint", F.concat(F.lit("http://localhost:"), F.col("port").cast("string"))).drop("port")
 
 
 def modes(sources: DataFrame) -> DataFrame:
@@ -155,6 +156,22 @@ def read_sssom(spark: SparkSession, path: str, prefixes: DataFrame, dataset: str
     return mappings.valid(rows.select(F.lit("sssom_import").alias("strategy"), terms.expand(F.col("subject_id"), table).alias("source_class"), terms.expand(F.col("object_id"), table).alias("target_class"), terms.expand(F.col("predicate_id"), table).alias("predicate"), prefix("subject_id").alias("source_dataset"), prefix("object_id").alias("target_dataset"), confidence.alias("confidence")))
 
 
+def read_semra(spark: SparkSession, path: str, prefixes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Mapping edges of a SeMRA dump: lines of JSON, each (subject, predicate, object) as CURIEs or as {prefix,
+    identifier}, with evidence whose largest confidence is the edge's.  ``keep`` are the subjects' prefixes to keep."""
+    ref = lambda c: F.coalesce(F.concat(F.get_json_object(c, "$.prefix"), F.lit(":"), F.get_json_object(c, "$.identifier")), F.col(c))
+    shape = "subject string, predicate string, object string, evidence array<struct<confidence:double>>"
+    rows = spark.read.schema(shape).json(path).where("subject is not null and predicate is not null and object is not null")
+    context = {r.prefix: r.ns for r in prefixes.collect()} | {"skos": terms.SKOS, "owl": terms.OWL, "rdfs": terms.RDFS}
+    table = F.create_map(*(F.lit(x) for kv in context.items() for x in kv))
+    prefix = lambda c: F.lower(F.substring_index(ref(c), ":", 1))
+    if keep is not None:
+        rows = rows.where(prefix("subject").isin([k.lower() for k in keep]))
+    from ..operators import mappings
+
+    return mappings.valid(rows.select(F.lit("semra_import").alias("strategy"), *(terms.expand(ref(c), table).alias(n) for c, n in (("subject", "source_class"), ("object", "target_class"), ("predicate", "predicate"))), prefix("subject").alias("source_dataset"), prefix("object").alias("target_dataset"), F.array_max(F.transform("evidence", lambda e: e["confidence"])).alias("confidence")))
+
+
 REPORT = "dataset_name string, strategy string, total_duration_s double, pattern_count bigint, class_count bigint, abort_reason string, query_stats map<string,struct<sent:bigint,failed:bigint,total_time_s:double>>, phases array<struct<name:string,started_at:string,finished_at:string,duration_s:double,items_discovered:bigint,error:string>>, machine map<string,string>, benchmark map<string,double>"
 
 

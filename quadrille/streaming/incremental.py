@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -69,3 +69,11 @@ def maintain(stream: DataFrame, quads_path: str, patterns_path: str, checkpoint:
         fresh.write.mode("overwrite").parquet(f"{patterns_path}/{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, patterns_path: str) -> DataFrame:
+    """The patterns after the last whole batch."""
+    number = 0
+    while exists(spark, f"{patterns_path}/{number + 1}/_SUCCESS"):
+        number += 1
+    return spark.read.parquet(f"{patterns_path}/{number}")
