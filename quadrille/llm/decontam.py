@@ -6,16 +6,18 @@ all exact piece hits; each hit fixes a window of the document in which Myers' bi
 the smallest edit distance between the whole item and any substring (Myers 1999, with Hyyro's free start).
 So every document that holds an item within its budget is found, and no other.
 
-Both sides are lower-cased and white space is collapsed to one blank.  The items are sent to the workers in
-chunks of at most ``CHUNK_CHARS`` characters, one scan each, so a larger benchmark costs more passes, not memory.
+Both sides go through the same ``normal``: case folded character by character, white space collapsed to one blank.
+Items shorter than ``MIN_CHARS`` characters are found everywhere by chance: they are found where they make up a
+whole line, without edits.  The items are sent to the workers in chunks of at most ``CHUNK_CHARS`` characters, one
+scan each, so a larger benchmark costs more passes, not memory; a worker process makes a chunk's automaton once.
 
-Cases.  Null or empty texts match nothing.  Items shorter than ``MIN_CHARS`` characters identify nothing and
-are left out.  Items that are equal are all reported.  Repeated documents are each reported.  Null ids are
+Cases.  Null or empty texts and items match nothing.  Items that are equal are all reported.  Repeated documents are each reported.  Null ids are
 reported as null.  Empty tables give an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,12 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as tk
 
-#: Edits allowed as a share of an item's characters, and the shortest item that counts.
+#: Edits allowed as a share of an item's characters, and the shortest item that is looked for inside lines.
 RATE, MIN_CHARS, CHUNK_CHARS = 0.08, 20, 1 << 24
 
 
 def normal(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return " ".join((text or "").casefold().split())
 
 
 def budget(chars: int, rate: float = RATE) -> int:
@@ -79,20 +81,36 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The automaton of all pieces of one chunk of items."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE):
+    def __init__(self, items: list[tuple], rate: float = RATE, min_chars: int = MIN_CHARS):
         self.items, self.auto = [], ahocorasick.Automaton()
+        self.lines: dict[str, list[int]] = {}
         at: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            m, e = len(text), budget(len(text), rate)
-            self.items.append((item_id, text, m, e, peq(text)))
+            short = len(text) < min_chars
+            m, e = len(text), 0 if short else budget(len(text), rate)
+            self.items.append((item_id, text, m, e, {} if short else peq(text)))
+            if short:
+                self.lines.setdefault(text, []).append(len(self.items) - 1)
+                continue
             for offset, piece in pieces(text, e):
                 at.setdefault(piece, []).append((len(self.items) - 1, offset))
         for piece, where in at.items():
             self.auto.add_word(piece, (len(piece), where))
         self.auto.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item position, distance, end) of each item in the normalised text; the best distance, then the first end."""
+    def whole_lines(self, raw: str) -> list[tuple[int, int, int]]:
+        found, end = {}, -1
+        for line in map(normal, raw.splitlines() if self.lines else ()):
+            end += len(line) + 1 if line else 0
+            for k in self.lines.get(line, ()):
+                found.setdefault(k, end)
+        return [(k, 0, end) for k, end in found.items()]
+
+    def matches(self, raw: str) -> list[tuple[int, int, int]]:
+        """(item position, distance, end in the normalised text) of each item in a text; the best distance, then the first end."""
+        found, text = self.whole_lines(raw), normal(raw)
+        if not len(self.auto):
+            return found
         windows: dict[int, list[list[int]]] = {}
         for last, (length, where) in self.auto.iter(text):
             begin = last - length + 1
@@ -105,7 +123,6 @@ class Matcher:
                     mine[-1][0] = min(mine[-1][0], low)
                 else:
                     mine.append([low, high])
-        found = []
         for k, mine in windows.items():
             _, item, m, e, masks = self.items[k]
             best: tuple[int, int] | None = None
@@ -120,13 +137,13 @@ class Matcher:
         return found
 
 
-def item_chunks(items: DataFrame, id_col: str, text_col: str, min_chars: int, chunk_chars: int) -> Iterator[list[tuple]]:
+def item_chunks(items: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> Iterator[list[tuple]]:
     """Normalised items in chunks of bounded size; the benchmark is streamed through the driver, not held."""
     chunk: list[tuple] = []
     held = 0
     for row in items.select(id_col, text_col).toLocalIterator():
         text = normal(row[1])
-        if len(text) < min_chars:
+        if not text:
             continue
         if chunk and held + len(text) > chunk_chars:
             yield chunk
@@ -137,13 +154,26 @@ def item_chunks(items: DataFrame, id_col: str, text_col: str, min_chars: int, ch
         yield chunk
 
 
-def _scan(sent, rate: float, target: pa.Schema):
+_made: dict[str, Matcher] = {}
+
+
+def _matcher(sent, name: str, rate: float, min_chars: int) -> Matcher:
+    """The automaton of a chunk, made once by each worker process; it holds one at a time."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Matcher(sent.value, rate, min_chars)
+    return _made[name]
+
+
+def _scan(sent, rate: float, min_chars: int, target: pa.Schema):
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, rate)
+        matcher = _matcher(sent, name, rate, min_chars)
         for batch in batches:
             rows, out = [], []
-            for i, text in enumerate(tk.strings(batch.column(1), lower=True).to_pylist()):
-                for k, distance, end in matcher.matches(" ".join(text.split())):
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for k, distance, end in matcher.matches(text):
                     rows.append(i)
                     out.append((matcher.items[k][0], distance, matcher.items[k][3], end))
             if rows:
@@ -161,17 +191,19 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("distance", T.IntegerType()), T.StructField("edits_allowed", T.IntegerType()), T.StructField("end_char", T.LongType())])
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    chunks = item_chunks(items, item_id, item_text, min_chars, chunk_chars)
-    parts = [source.mapInArrow(_scan(spark.sparkContext.broadcast(c), rate, to_arrow_schema(schema)), schema) for c in chunks]
+    chunks = item_chunks(items, item_id, item_text, chunk_chars)
+    parts = [source.mapInArrow(_scan(spark.sparkContext.broadcast(c), rate, min_chars, to_arrow_schema(schema)), schema) for c in chunks]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _leaked(sent, rate: float):
+def _leaked(sent, rate: float, min_chars: int):
+    name = uuid.uuid4().hex
+
     @F.arrow_udf("boolean")
     def leaked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(sent.value, rate)
+        matcher = _matcher(sent, name, rate, min_chars)
         for batch in batches:
-            yield pa.array([bool(matcher.matches(" ".join(t.split()))) for t in tk.strings(batch, lower=True).to_pylist()], pa.bool_())
+            yield pa.array([bool(t) and bool(matcher.matches(t)) for t in batch.to_pylist()], pa.bool_())
         tk.release()
 
     return leaked
@@ -179,6 +211,6 @@ def _leaked(sent, rate: float):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The rows of docs that hold no test item within its budget, with their columns; no shuffle."""
-    for chunk in item_chunks(items, item_id, item_text, min_chars, chunk_chars):
-        docs = docs.where(~_leaked(docs.sparkSession.sparkContext.broadcast(chunk), rate)(F.col(text_col).cast("string")))
+    for chunk in item_chunks(items, item_id, item_text, chunk_chars):
+        docs = docs.where(~_leaked(docs.sparkSession.sparkContext.broadcast(chunk), rate, min_chars)(F.col(text_col).cast("string")))
     return docs

@@ -66,8 +66,23 @@ def test_defined_cases(make):
     rows = [(1, None, "a"), (2, "", "a"), (3, item, "a"), (3, item, "a"), (None, item, "a"), (4, "short", "a"), (5, "w " * 200_000 + item, "a")]
     docs = make(rows, "doc_id bigint, text string, item_id string")
     got = sorted(((x.doc_id or 0), (x.item_id or 0), x.distance) for x in dc.leaks(docs, bench).collect())
-    assert got == sorted([(d, i, 0) for d in (0, 3, 3, 5) for i in (0, 1, 2)])
+    assert got == sorted([(d, i, 0) for d in (0, 3, 3, 5) for i in (0, 1, 2)] + [(4, 4, 0)])
     left = dc.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and sorted(x.doc_id for x in left.collect()) == [1, 2, 4]
+    assert left.columns == docs.columns and sorted(x.doc_id for x in left.collect()) == [1, 2]
     assert dc.leaks(docs.limit(0), bench).collect() == [] == dc.leaks(docs, bench.limit(0)).collect()
     assert dc.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_both_sides_are_folded_alike(make):
+    items = [(1, "ΠΟΙΟΣ ΕΙΝΑΙ Ο ΠΑΛΑΙΟΤΕΡΟΣ ΦΑΡΟΣ ΤΗΣ ΒΟΡΕΙΑΣ ΑΚΤΗΣ"), (2, "İstanbul'un en eski İSKELESİ hangi kıyıdadır"), (3, "WELCHE STRASSE führt zum alten Straßenfest")]
+    docs = [(i, f"vor {t} nach") for i, t in items] + [(i + 10, t.lower()) for i, t in items] + [(i + 20, "ΣΙΓΜΑ " + t.swapcase() + "ΣΙΓΜΑ") for i, t in items]
+    got = {(r.doc_id, r.item_id): r.distance for r in dc.leaks(make(docs), make(items, "item_id bigint, text string")).collect()}
+    want = {(d, i): semi_global(dc.normal(t), dc.normal(text)) for d, text in docs for i, t in items}
+    assert got == {k: v for k, v in want.items() if v <= dc.budget(len(dc.normal(items[k[1] - 1][1])))} and len(got) == 9
+    assert all(got[i, i] == got[10 + i, i] == 0 for i in (1, 3))
+
+
+def test_short_items_are_whole_lines(make):
+    docs = make([(1, "first line\n  What is  PI? \nend"), (2, "so what is pi? nobody knows"), (3, "what is pi?"), (4, "what is pie?")])
+    got = [(r.doc_id, r.distance, r.edits_allowed, r.end_char) for r in dc.leaks(docs, make([(7, "What is pi?")], "item_id bigint, text string")).collect()]
+    assert sorted(got) == [(1, 0, 0, 22), (3, 0, 0, 11)] and dc.normal("first line\n  What is  PI? \nend")[11:22] == "what is pi?"
