@@ -1,6 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
-One regular expression finds candidates in the whole text; only a hash of each leaves the scan.  Hashes are
+One regular expression finds candidates in the whole text, whatever their length: keys as issuers write them, PEM
+blocks with or without headers (16 lines at most), and what is assigned to a telling name, in quotes or, where it
+has a digit and a letter, bare.  It runs on the texts that hold one of its fixed words, without which it can't match.
+Only a hash of each candidate leaves the scan.  Hashes are
 counted over the whole corpus by distinct repositories and owners.  A candidate that many owners hold is an
 example that was copied about; one held by few owners looks like a live credential of theirs.  Values that
 say they are placeholders, or have too few different characters to be keys, are set apart.
@@ -15,6 +18,8 @@ have any name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +29,42 @@ from .common import Scratch, broadcast_if_small, fresh
 WIDE_OWNERS, MIN_DISTINCT = 3, 6
 REDACTED = "[REDACTED]"
 KEYS = r"(?i:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"
-ASSIGNED = KEYS + r"""["']?\s*(?:=>|=|:)\s*["']([^"'\s]{8,200})["']"""
-ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[0-9A-Za-z]{36}|github_pat_[0-9A-Za-z_]{40,90}|glpat-[0-9A-Za-z_-]{20}|xox[abprs]-[0-9A-Za-z-]{10,80}|AIza[0-9A-Za-z_-]{35}|sk-[0-9A-Za-z_-]{20,200}|sk_live_[0-9A-Za-z]{16,64}|eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}"
-PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{16,}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-CANDIDATE = f"{ASSIGNED}|{ISSUED}|{PEM}"
+ASSIGNED = KEYS + r"""["']?\s*(?:=>|=|:)\s*["']([^"'\s]{8,})["']"""
+BARE = KEYS + r"""["']?[ \t]*(?:=>|=|:)[ \t]*([0-9A-Za-z_+/.~=-]{12,})"""
+ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16,}|gh[opsru]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{40,}|glpat-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35,}|sk-[0-9A-Za-z_-]{20,}|sk_live_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]{8,}"
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?:[A-Za-z0-9-]+:[^\n]*\n\s*){0,16}[^-]{16,}-----END [A-Z ]*PRIVATE KEY-----"
+CANDIDATE = f"{ASSIGNED}|{BARE}|{ISSUED}|{PEM}"
+#: Without one of these, in any case or in this case, CANDIDATE can't match.
+NAMES = ("token", "secret", "passw", "api", "access", "private", "credential", "auth")
+HEADS = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_pat_", "glpat-", "xox", "AIza", "sk-", "sk_live_", "eyJ", "-----BEGIN")
 PLACEHOLDER = r"(?i)example|placeholder|change_?me|your[_-]|xxxx|dummy|sample|[<>]|[$][{]|[*]{3}|[.]{3}|(?:0123|1234)567"
 
 
 def _value(match: Column) -> Column:
-    """The secret itself: what is assigned, or the whole match."""
-    assigned = F.regexp_extract(match, f"^{ASSIGNED}$", 1)
-    return F.when(assigned != "", assigned).otherwise(match)
+    """The secret itself: what is assigned, or the whole match; null for a bare word that has no digit or no letter."""
+    quoted, bare = (F.regexp_extract(match, f"^(?:{form})$", 1) for form in (ASSIGNED, BARE))
+    key = bare.rlike(ISSUED) | (bare.rlike("[0-9]") & bare.rlike("[A-Za-z]"))
+    return F.when(quoted != "", quoted).when((bare != "") & key, bare).when(bare == "", match)
+
+
+def _kind(match: Column, value: Column) -> Column:
+    return F.when(match.startswith("-----BEGIN"), "private_key").when(value.rlike(f"^(?:{ISSUED})$"), "issued_key").otherwise("assigned")
 
 
-def _kind(match: Column) -> Column:
-    return F.when(match.startswith("-----BEGIN"), "private_key").when(match.rlike(f"^(?:{ISSUED})$"), "issued_key").otherwise("assigned")
+def found_in(text: Column) -> Column:
+    """Every match of CANDIDATE in a text."""
+    low = F.lower(text)
+    signs = [F.contains(low, F.lit(n)) for n in NAMES] + [F.contains(text, F.lit(h)) for h in HEADS]
+    return F.when(reduce(Column.__or__, signs), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository: Column, owner: Column) -> DataFrame:
     """One row for each occurrence: (doc_id, repository, owner, secret_hash, kind, placeholder)."""
-    found = docs.select(F.col(id_col).alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(CANDIDATE), F.lit(0))).alias("match"))
-    value = _value(F.col("match"))
+    found = docs.select(F.col(id_col).alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.explode(found_in(F.col(text_col).cast("string"))).alias("match"))
+    found = found.withColumn("value", _value(F.col("match"))).where("value is not null")
+    value = F.col("value")
     distinct = F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
-    return found.select("doc_id", "repository", "owner", F.sha2(value, 256).alias("secret_hash"), _kind(F.col("match")).alias("kind"), (value.rlike(PLACEHOLDER) | (distinct < MIN_DISTINCT)).alias("placeholder"))
+    return found.select("doc_id", "repository", "owner", F.sha2(value, 256).alias("secret_hash"), _kind(F.col("match"), value).alias("kind"), (value.rlike(PLACEHOLDER) | (distinct < MIN_DISTINCT)).alias("placeholder"))
 
 
 def ownership(found: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
@@ -83,7 +101,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     live = scan(docs, id_col, text_col, scratch=scratch, **options).where("verdict = 'live'")
     live = scratch.table(live.groupBy("doc_id").agg(F.collect_set("secret_hash").alias(held)).withColumnRenamed("doc_id", live_id))
     joined = docs.join(broadcast_if_small(live), F.col(id_col).eqNullSafe(F.col(live_id)), "left")
-    values = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)), _value), lambda v: F.array_contains(held, F.sha2(v, 256)))
+    values = F.filter(F.transform(found_in(F.col(text_col)), _value), lambda v: F.array_contains(held, F.sha2(v, 256)))
     longest = F.array_sort(F.array_distinct(values), lambda a, b: F.length(b) - F.length(a))
     blotted = F.aggregate(longest, F.col(text_col), lambda text, v: F.replace(text, v, F.lit(REDACTED)))
     joined = joined.withColumn(clean, F.when(F.col(held).isNull(), F.col(text_col)).otherwise(blotted))
@@ -99,15 +117,17 @@ def oracle_sql() -> str:
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
 
-    value = f"coalesce(nullif(regexp_extract(m, {quoted(f'^{ASSIGNED}$')}, 1), ''), m)"
     return f"""
 WITH found AS (
   SELECT doc_id, source AS owner, source || '/' || lang AS repository, unnest(regexp_extract_all(text, {quoted(CANDIDATE)}, 0)) AS m FROM documents
+), split AS (
+  SELECT *, regexp_extract(m, {quoted(f'^(?:{ASSIGNED})$')}, 1) AS q, regexp_extract(m, {quoted(f'^(?:{BARE})$')}, 1) AS b FROM found
 ), valued AS (
-  SELECT doc_id, owner, repository, m, {value} AS v FROM found
+  SELECT doc_id, owner, repository, m, CASE WHEN q <> '' THEN q WHEN b <> '' THEN b ELSE m END AS v
+  FROM split WHERE q <> '' OR b = '' OR regexp_matches(b, {quoted(ISSUED)}) OR (regexp_matches(b, '[0-9]') AND regexp_matches(b, '[A-Za-z]'))
 ), marked AS (
   SELECT doc_id, owner, repository, sha256(v) AS secret_hash,
-         CASE WHEN starts_with(m, '-----BEGIN') THEN 'private_key' WHEN regexp_matches(m, {quoted(f'^(?:{ISSUED})$')}) THEN 'issued_key' ELSE 'assigned' END AS kind,
+         CASE WHEN starts_with(m, '-----BEGIN') THEN 'private_key' WHEN regexp_matches(v, {quoted(f'^(?:{ISSUED})$')}) THEN 'issued_key' ELSE 'assigned' END AS kind,
          regexp_matches(v, {quoted(PLACEHOLDER)}) OR len(list_distinct(string_split(v, ''))) < {MIN_DISTINCT} AS placeholder
   FROM valued
 ), counted AS (
