@@ -27,7 +27,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page, and what of the list of pages served over plain http blocks it."""
+    """Each page, and what blocks it of the list of URLs, hosts and domains served over plain http."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.blocked(pages, urlfilter.downgraded(pages)).withColumn("blocked", F.col("matched_entry").isNotNull())
 

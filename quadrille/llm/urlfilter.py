@@ -6,11 +6,12 @@ batch with one vectorised binary search, and compare the stored string of each h
 never blocks anything.  The list is sorted and written by the executors in ranges of the digest: the driver
 holds one line for each file.  (A folder that isn't a mounted file system is read instead of mapped.)
 
-A URL's candidates are its canonical form, its host, and the host's parent domains of at least two labels;
-the longest listed one is the match.
+A URL's candidates are its canonical form, its host with its port, its host, and the host's parent domains of at
+least two labels; the longest listed one is the match.  They and their keys are made by Spark's expressions.  Entries
+are made canonical like URLs, and lose a leading ``*.`` or dot, so they may be written in any of these forms.
 
-Cases.  Null and empty URLs match nothing.  Null and empty list entries are left out, repeated ones count
-once.  An empty list matches nothing.  Repeated rows are each judged.  Every column of the rows is kept, and
+Cases.  Null and empty URLs match nothing.  Null and empty list entries are left out, repeated ones, also those
+that are equal only in canonical form, count once.  An empty list matches nothing.  Repeated rows are each judged.  Every column of the rows is kept, and
 the match's column gets a name that is free.
 """
 
@@ -21,40 +22,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
 
-#: The seed of Spark's xxhash64, so that keys made by Spark and by the workers are the same.
-SEED = 42
-
-
-def digest(text: bytes) -> int:
-    value = xxhash.xxh64_intdigest(text, SEED)
-    return value - (1 << 64) if value >> 63 else value
-
-
 def canonical(url: Column) -> Column:
     """Host in lower case, path and query; without scheme, fragment, user, default port and closing slashes."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^[^@]*@|:(?:80|443)$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^[^@]*@|:(?:80|443)?$", "")
     return F.regexp_replace(F.concat(host, F.regexp_extract(bare, "[/?].*$", 0)), "/+$", "")
 
 
 CANONICAL_SQL = (
-    "regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^[^/?]*', 0)), '^[^@]*@|:(?:80|443)$', '', 'g') || regexp_extract({bare}, '[/?].*$', 0), '/+$', '')"
+    "regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^[^/?]*', 0)), '^[^@]*@|:(?:80|443)?$', '', 'g') || regexp_extract({bare}, '[/?].*$', 0), '/+$', '')"
 ).replace("{bare}", "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')")
 
 
-def candidates(form: str) -> list[str]:
-    """The canonical form, the host and its parent domains, longest first."""
-    host = form.split("/", 1)[0].split("?", 1)[0]
-    labels = host.split(".")
-    out = [form] if form != host else []
-    return out + [".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]
+def hosts(form: Column) -> Column:
+    """The host of a canonical form, without its port, and its parent domains of at least two labels, longest first."""
+    labels = F.split(F.regexp_replace(F.regexp_extract(form, "^[^/?]*", 0), ":[0-9]*$", ""), "[.]")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def candidates(form: Column) -> Column:
+    """The canonical form, the host with its port, the host and its parent domains, longest first."""
+    return F.array_distinct(F.concat(F.array(form, F.regexp_extract(form, "^[^/?]*", 0)), hosts(form)))
 
 
 @dataclass(frozen=True)
@@ -64,7 +59,10 @@ class DigestArray:
     files: tuple[tuple[str, int], ...]
 
     def open(self) -> "Reader":
-        return _opened.setdefault(self, Reader(self)) if self not in _opened else _opened[self]
+        if self not in _opened:
+            _opened.clear()  # one list at a time
+            _opened[self] = Reader(self)
+        return _opened[self]
 
 
 _opened: dict[DigestArray, "Reader"] = {}
@@ -88,7 +86,7 @@ class Reader:
             offsets = np.frombuffer(_buffer(f"{path}.offsets"), np.int64)
             self.parts.append((keys, offsets, _buffer(f"{path}.strings")))
 
-    def listed(self, keys: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    def listed(self, keys: np.ndarray, texts: pa.Array) -> np.ndarray:
         """Which texts, of these keys, are on the list."""
         out = np.zeros(len(keys), bool)
         if not len(self.low):
@@ -102,7 +100,7 @@ class Reader:
             for i in hit:
                 j, key = at[i], keys[mine[i]]
                 while j < len(held) and held[j] == key and not out[mine[i]]:
-                    out[mine[i]] = strings[offsets[j] : offsets[j + 1]].to_pybytes() == texts[mine[i]]
+                    out[mine[i]] = strings[offsets[j] : offsets[j + 1]].to_pybytes() == texts[mine[i]].as_py().encode()
                     j += 1
         return out
 
@@ -136,7 +134,7 @@ def build(entries: DataFrame, column: str, scratch: Scratch) -> DigestArray:
             write_array(np.concatenate(keys), texts, path)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([int(keys[0][0])])], ["path", "low"])
 
-    listed = entries.select(F.col(column).cast("string").alias("entry")).where("entry is not null and entry <> ''").distinct()
+    listed = entries.select(canonical(F.regexp_replace(F.trim(F.col(column).cast("string")), "^[*]?[.]", "")).alias("entry")).where("entry is not null and entry <> ''").distinct()
     ranged = listed.select(F.xxhash64("entry").alias("key"), "entry").repartitionByRange("key").sortWithinPartitions("key")
     files = ranged.mapInArrow(write, "path string, low bigint").collect()
     return DigestArray(tuple(sorted(((r.path, r.low) for r in files), key=lambda r: r[1])))
@@ -146,19 +144,19 @@ def match(rows: DataFrame, array: DigestArray, url_col: str = "url", name: str =
     """rows with the longest listed candidate of each URL, or null; no shuffle."""
 
     @F.arrow_udf("string")
-    def longest(forms: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def longest(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         reader = array.open()
-        for column in forms:
-            texts, first = [], [0]
-            for form in column.to_pylist():
-                texts.extend(c.encode() for c in (candidates(form) if form else []))
-                first.append(len(texts))
-            keys = np.fromiter((digest(t) for t in texts), np.int64, len(texts))
-            on = np.flatnonzero(reader.listed(keys, texts))
+        for texts, keys in columns:
+            first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))])
+            flat = texts.flatten()
+            on = np.flatnonzero(reader.listed(keys.flatten().to_numpy(), flat))
             at = np.searchsorted(on, first)
-            yield pa.array([texts[on[a]].decode() if a < b else None for a, b in zip(at, at[1:])], pa.string())
+            hit = [int(on[a]) if a < b else None for a, b in zip(at, at[1:])]
+            yield flat.take(pa.array(hit, pa.int64()))
 
-    return rows.withColumn(fresh(rows, name), longest(canonical(F.col(url_col).cast("string"))))
+    made = fresh(rows, "candidates")
+    with_made = rows.withColumn(made, F.array_sort(candidates(canonical(F.nullif(F.trim(F.col(url_col).cast("string")), F.lit("")))), lambda a, b: F.length(b) - F.length(a)))
+    return with_made.withColumn(fresh(rows, name), longest(F.col(made), F.transform(made, lambda c: F.xxhash64(c)))).drop(made)
 
 
 def blocked(pages: DataFrame, entries: DataFrame, url_col: str = "url", entry_col: str = "entry", scratch: Scratch | None = None) -> DataFrame:
@@ -167,23 +165,32 @@ def blocked(pages: DataFrame, entries: DataFrame, url_col: str = "url", entry_co
 
 
 def downgraded(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """A list made from the pages themselves: what is served over plain http."""
-    return pages.where(F.lower(url_col).startswith("http://")).select(canonical(F.col(url_col)).alias("entry"))
+    """A list made from all pages: the URLs served over plain http, and the hosts and domains of which more than half are.
+
+    Pages are counted by host before hosts meet their domains.
+    """
+    plain = F.lower(url_col).startswith("http://")
+    form = canonical(F.col(url_col))
+    by_host = pages.select(plain.alias("plain"), hosts(form).alias("hosts")).where("hosts is not null").groupBy("hosts").agg(F.count("*").alias("n"), F.count_if("plain").alias("m"))
+    domains = by_host.select(F.explode("hosts").alias("entry"), "n", "m").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("2 * m > n").select("entry")
+    return pages.where(plain).select(form.alias("entry")).unionByName(domains)
 
 
 def oracle_sql() -> str:
     """The rows of the query in DuckDB's SQL: each page with the longest listed candidate."""
     return f"""
 WITH page AS (
-  SELECT page_id, url, {CANONICAL_SQL} AS form FROM pages
-), listed AS (
-  SELECT DISTINCT form AS entry FROM page WHERE starts_with(lower(url), 'http://') AND form <> ''
+  SELECT page_id, url, starts_with(lower(url), 'http://') AS plain, {CANONICAL_SQL} AS form FROM pages
 ), part AS (
-  SELECT page_id, url, form, string_split(regexp_extract(form, '^[^/?]*', 0), '.') AS labels FROM page
+  SELECT *, regexp_extract(form, '^[^/?]*', 0) AS place, string_split(regexp_replace(regexp_extract(form, '^[^/?]*', 0), ':[0-9]*$', ''), '.') AS labels FROM page
+), parent AS (
+  SELECT page_id, plain, array_to_string(labels[i:], '.') AS c FROM part, unnest(range(1, greatest(2, len(labels)))) AS u(i)
+), listed AS (
+  SELECT form AS entry FROM page WHERE plain AND form <> ''
+  UNION
+  SELECT c FROM parent WHERE c <> '' GROUP BY c HAVING 2 * count(*) FILTER (plain) > count(*)
 ), candidate AS (
-  SELECT page_id, url, form AS c FROM part
-  UNION ALL
-  SELECT page_id, url, array_to_string(labels[i:], '.') FROM part, unnest(range(1, greatest(2, len(labels)))) AS u(i)
+  SELECT page_id, form AS c FROM part UNION SELECT page_id, place FROM part UNION SELECT page_id, c FROM parent
 ), best AS (
   SELECT page_id, max_by(c, length(c)) AS matched_entry FROM candidate JOIN listed ON c = entry GROUP BY page_id
 )
