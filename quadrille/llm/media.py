@@ -6,7 +6,9 @@ filters that only look up, one column at a time for those that look left.  ``pha
 lowest 8 x 8 frequencies of a 32 x 32 cosine transform, each against their median.
 
 Grey, grey with alpha, colour, colour with alpha and palette images of 8 bits, grey of 1, 2, 4 bits and
-palettes of those, and 16 bits are read; interlaced ones are reported as unsupported.
+palettes of those, and 16 bits are read, plain or interlaced (Adam7).  Images are decoded in groups of about ``GROUP``
+bytes of pixels, which are hashed and let go before the next, in blocks of about ``BLOCK`` pixels, by one matrix product
+for all of a shape: memory doesn't grow with a batch, but with its largest image.
 
 Cases.  Every row gives one row with a status: ``ok``, ``null``, ``not png``, ``truncated``, ``bad crc``,
 ``bad data`` or ``unsupported``; only ``ok`` has a size and a hash.  An empty value is ``not png``.  Repeated
@@ -28,11 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkit import release
+
 MAGIC = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 #: Images of more pixels than this are reported as unsupported: a decoder's guard against a hostile header.
 MAX_PIXELS = 1 << 26
+GROUP, BLOCK = 16 << 20, 1 << 20
+#: First column and row of each of Adam7's passes, and the steps between them.
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -106,8 +113,14 @@ def unfilter(data: np.ndarray, bpp: int) -> np.ndarray:
     return out
 
 
+def passes(w: int, h: int, interlaced: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(first column, first row, column step, row step, width, height) of each part of an image that has pixels."""
+    cut = [(x, y, dx, dy, -(-(w - x) // dx), -(-(h - y) // dy)) for x, y, dx, dy in (ADAM7 if interlaced else ((0, 0, 1, 1),))]
+    return [p for p in cut if p[4] > 0 and p[5] > 0]
+
+
 def parse(data: bytes | None) -> tuple[str, tuple | None]:
-    """(status, (width, height, depth, colour, palette, inflated data))."""
+    """(status, (width, height, depth, colour, interlaced, palette, inflated data))."""
     if data is None:
         return "null", None
     if not data.startswith(MAGIC):
@@ -135,12 +148,12 @@ def parse(data: bytes | None) -> tuple[str, tuple | None]:
     if head is None or len(head) != 13:
         return "bad data", None
     w, h, depth, colour, packing, filtering, interlace = struct.unpack(">IIBBBBB", head)
-    if not w or not h or colour not in CHANNELS or depth not in DEPTHS[colour] or packing or filtering or (colour == 3 and (not palette or len(palette) % 3)):
+    if not w or not h or colour not in CHANNELS or depth not in DEPTHS[colour] or packing or filtering or interlace > 1 or (colour == 3 and (not palette or len(palette) % 3)):
         return "bad data", None
-    if interlace or w * h > MAX_PIXELS:
+    if w * h > MAX_PIXELS:
         return "unsupported", None
-    stride = (w * CHANNELS[colour] * depth + 7) // 8
-    need = h * (stride + 1)
+    sizes = [(ph, (pw * CHANNELS[colour] * depth + 7) // 8) for *_, pw, ph in passes(w, h, interlace)]
+    need = sum(ph * (stride + 1) for ph, stride in sizes)
     try:
         inflater = zlib.decompressobj()
         raw = inflater.decompress(b"".join(body), need + 1)
@@ -149,9 +162,11 @@ def parse(data: bytes | None) -> tuple[str, tuple | None]:
         sound = len(raw) == need and inflater.eof
     except zlib.error:
         sound = False
-    if not sound or max(raw[:: stride + 1]) > 4:
-        return "bad data", None
-    return "ok", (w, h, depth, colour, palette, raw)
+    at = 0
+    for ph, stride in sizes if sound else ():
+        sound &= max(raw[at : at + ph * (stride + 1) : stride + 1]) <= 4
+        at += ph * (stride + 1)
+    return ("ok", (w, h, depth, colour, interlace, palette, raw)) if sound else ("bad data", None)
 
 
 def pixels(w: int, depth: int, colour: int, palette: bytes | None, rows: np.ndarray) -> np.ndarray:
@@ -181,19 +196,41 @@ def decode_all(images: list[bytes | None]) -> list[tuple[str, np.ndarray | None]
         status, found = parse(data)
         out.append((status, None))
         if found:
-            w, h, depth, colour, palette, raw = found
-            groups[w, h, depth, colour].append((i, palette, raw))
-    for (w, h, depth, colour), members in groups.items():
-        stride, bpp = (w * CHANNELS[colour] * depth + 7) // 8, max(1, CHANNELS[colour] * depth // 8)
-        step = max(1, (32 << 20) // (h * (stride + 1)))
-        for s in range(0, len(members), step):
-            part = members[s : s + step]
-            data = np.frombuffer(b"".join(raw for _, _, raw in part), np.uint8).reshape(len(part), h, stride + 1)
-            for (i, palette, _), rows in zip(part, unfilter(data, bpp)):
-                out[i] = "ok", pixels(w, depth, colour, palette, rows)
+            *shape, palette, raw = found
+            groups[tuple(shape)].append((i, palette, raw))
+    for (w, h, depth, colour, interlaced), members in groups.items():
+        bpp, c = max(1, CHANNELS[colour] * depth // 8), 3 if colour == 3 else CHANNELS[colour]
+        whole = np.empty((len(members), h, w, c), np.uint8)
+        at = 0
+        for x, y, dx, dy, pw, ph in passes(w, h, interlaced):
+            stride = (pw * CHANNELS[colour] * depth + 7) // 8
+            size = ph * (stride + 1)
+            data = np.frombuffer(b"".join(raw[at : at + size] for _, _, raw in members), np.uint8).reshape(len(members), ph, stride + 1)
+            for n, rows in enumerate(unfilter(data, bpp)):
+                whole[n, y::dy, x::dx] = pixels(pw, depth, colour, members[n][1], rows)
+            at += size
+        for n, (i, _, _) in enumerate(members):
+            out[i] = "ok", whole[n]
     return out
 
 
+def grouped(images: list[bytes | None], limit: int = GROUP) -> Iterator[list[bytes | None]]:
+    """Consecutive images of about ``limit`` bytes of pixels by what their headers say."""
+    part, held = [], 0
+    for data in images:
+        size = 0
+        if data is not None and len(data) > 25 and data.startswith(MAGIC):
+            w, h, depth, colour = struct.unpack_from(">IIBB", data, 16)
+            size = w * h * CHANNELS.get(colour, 1) * max(1, depth // 8) if w * h <= MAX_PIXELS else 0
+        if part and held + size > limit:
+            yield part
+            part, held = [], 0
+        part.append(data)
+        held += size
+    if part:
+        yield part
+
+
 @lru_cache(64)
 def _shrink(n: int, to: int = 32) -> np.ndarray:
     """Area weights that bring n samples to ``to``."""
@@ -208,30 +245,54 @@ def _cosines(n: int = 32, k: int = 8) -> np.ndarray:
     return np.cos(np.pi * (2 * np.arange(n) + 1) * np.arange(k)[:, None] / (2 * n))
 
 
+def phashes(images: np.ndarray) -> list[bytes]:
+    """8 bytes for each of (images x height x width x channels); alpha is laid over black."""
+    n, h, w, c = images.shape
+    down, across = _shrink(h), _shrink(w).T
+    out, step, rows = [], max(1, BLOCK // (h * w)), max(1, BLOCK // w)
+    for s in range(0, n, step):
+        small = 0
+        for y in range(0, h, rows):
+            x = images[s : s + step, y : y + rows].astype(float)
+            if c in (2, 4):
+                x = x[..., :-1] * (x[..., -1:] / 255)
+            grey = x[..., 0] if x.shape[3] == 1 else x @ np.array([0.299, 0.587, 0.114])
+            small = small + down[:, y : y + rows] @ (grey @ across)
+        low = np.round(_cosines() @ small @ _cosines().T, 6).reshape(-1, 64)
+        bits = np.packbits(low > np.median(low[:, 1:], axis=1, keepdims=True), axis=1)
+        out.extend(row.tobytes() for row in bits)
+    return out
+
+
 def phash(image: np.ndarray) -> bytes:
-    """8 bytes; alpha is laid over black."""
-    x = image.astype(float)
-    if x.shape[2] in (2, 4):
-        x = x[:, :, :-1] * (x[:, :, -1:] / 255)
-    grey = x[:, :, 0] if x.shape[2] == 1 else x @ np.array([0.299, 0.587, 0.114])
-    small = _shrink(grey.shape[0]) @ grey @ _shrink(grey.shape[1]).T
-    low = np.round(_cosines() @ small @ _cosines().T, 6)
-    return np.packbits(low.ravel() > np.median(low.ravel()[1:])).tobytes()
+    return phashes(image[None])[0]
 
 
 def hashes(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """(id_col, status, width, height, channels, phash) of every row; no shuffle."""
-    names = [id_col, "status", "width", "height", "channels", "phash"]
+    """(id_col, status, width, height, channels, phash) of every row; no shuffle.  An id column of one of these names lends it to the result's with an underscore."""
+    names = [id_col, *(n + "_" * (n == id_col.lower()) for n in ("status", "width", "height", "channels", "phash"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = decode_all(batch.column(1).to_pylist())
-            shape = [[None if x is None else x.shape[j] for _, x in found] for j in (1, 0, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in found], pa.string()), *(pa.array(v, pa.int32()) for v in shape), pa.array([None if x is None else phash(x) for _, x in found], pa.binary())], names
-            )
-
-    schema = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), T.StructField("status", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in names[2:5]), T.StructField("phash", T.BinaryType())])
+            status, shape, marks = [], [], []
+            for part in grouped(batch.column(1).to_pylist()):
+                found = decode_all(part)
+                status.extend(s for s, _ in found)
+                shape.extend((None, None, None) if x is None else x.shape for _, x in found)
+                mine, alike = [None] * len(found), defaultdict(list)
+                for i, (_, x) in enumerate(found):
+                    if x is not None:
+                        alike[x.shape].append(i)
+                for some in alike.values():
+                    one = found[some[0]][1][None] if len(some) == 1 else np.stack([found[i][1] for i in some])
+                    for i, mark in zip(some, phashes(one)):
+                        mine[i] = mark
+                marks.extend(mine)
+                del found
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string()), *(pa.array([x[j] for x in shape], pa.int32()) for j in (1, 0, 2)), pa.array(marks, pa.binary())], names)
+            release()
+
+    schema = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), T.StructField(names[1], T.StringType()), *(T.StructField(n, T.IntegerType()) for n in names[2:5]), T.StructField(names[5], T.BinaryType())])
     return media.select(id_col, image_col).mapInArrow(run, schema)
 
 

@@ -71,7 +71,7 @@ def test_every_status_and_the_column(make):
     flip[45] ^= 1
     body = made(struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0), b"\0" * 71)
     kinds = made(struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0), b"\7\0")
-    laced = made(struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 1), b"\0\0")
+    laced = made(struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 2), b"\0\0")
     huge = made(struct.pack(">IIBBBBB", 1 << 20, 1 << 20, 8, 0, 0, 0, 0), b"\0\0")
     adler = bytearray(zlib.compress(b"\0\0"))
     adler[-1] ^= 1
@@ -79,7 +79,7 @@ def test_every_status_and_the_column(make):
     rows = [(1, good), (1, good), (None, good), (2, None), (3, b""), (4, b"GIF89a"), (5, good[:-3]), (6, bytes(flip)), (7, body), (8, kinds), (9, laced), (10, huge), (11, summed), (12, m.MAGIC)]
     frame = make([(i, b, 0, "x") for i, b in rows], "vec_id bigint, image binary, width int, status string")
     got = [(r.vec_id, r.status) for r in m.hashes(frame, "vec_id", "image").collect()]
-    want = ["ok", "ok", "ok", "null", "not png", "not png", "truncated", "bad crc", "bad data", "bad data", "unsupported", "unsupported", "bad data", "truncated"]
+    want = ["ok", "ok", "ok", "null", "not png", "not png", "truncated", "bad crc", "bad data", "bad data", "bad data", "unsupported", "bad data", "truncated"]
     assert sorted(got, key=str) == sorted(zip([i for i, _ in rows], want), key=str)
     assert m.hashes(frame.limit(0), "vec_id", "image").collect() == []
 
@@ -95,3 +95,57 @@ def test_vectors_become_images_and_back(make):
         x = np.float32(v).reshape(8, 8).astype(float)
         grey = np.rint(255 * (x - x.min()) / (x.max() - x.min())).astype(np.uint8)
         assert bytes(got[i].phash) == m.phash(np.kron(grey, np.ones((4, 4), np.uint8))[:, :, None]) and got[i].width == 32
+
+
+def lace(x, r):
+    """The seven passes of an image, each filtered by itself."""
+    raw = b""
+    for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)):
+        part = x[y0::dy, x0::dx]
+        if part.size:
+            raw += m.filter_rows(part.reshape(len(part), -1), x.shape[2], r.integers(0, 5, len(part)))
+    return raw
+
+
+def test_interlaced_images_equal_plain_ones():
+    r = np.random.default_rng(12)
+    for c, colour in ((1, 0), (3, 2), (4, 6)):
+        for h, w in [(1, 1), (2, 3), (5, 1), (8, 8), (9, 13), (33, 17)]:
+            x = r.integers(0, 256, (h, w, c), np.uint8)
+            raw = lace(x, r)
+            (status, got), (bad, _) = m.decode_all([made(struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 1), raw), made(struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 1), raw[:-1])])
+            assert status == "ok" and (got == x).all() and bad == "bad data"
+    x = np.array([[1, 0, 1], [0, 1, 1]], np.uint8)
+    rows = [x[0:1, 0:1], x[0:1, 2:3], x[0:1, 1:2], x[1:2, :]]  # one bit a sample: the passes that a 3 x 2 image has
+    raw = b"".join(b"\0" + np.packbits(p, axis=1).tobytes() for p in rows)
+    assert (m.decode_all([made(struct.pack(">IIBBBBB", 3, 2, 1, 0, 0, 0, 1), raw)])[0][1][:, :, 0] == 255 * x).all()
+
+
+def test_blocks_and_groups_change_no_hash(monkeypatch, make):
+    r = np.random.default_rng(2)
+    images = [r.integers(0, 256, (h, w, c), np.uint8) for h, w, c in [(40, 30, 1), (40, 30, 1), (64, 64, 3), (5, 9, 4), (40, 30, 2)]]
+    want = [m.phash(x) for x in images]
+    monkeypatch.setattr(m, "BLOCK", 100)
+    assert [m.phash(x) for x in images] == want and m.phashes(np.stack(images[:2])) == want[:2]
+    parts = list(m.grouped([m.encode(x) for x in images] + [None, b""], 1300))
+    assert [len(p) for p in parts] == [1, 1, 1, 1, 1, 2]
+    frame = make([(i, m.encode(x)) for i, x in enumerate(images)], "status bigint, image binary")
+    got = m.hashes(frame, "status", "image")
+    assert got.columns == ["status", "status_", "width", "height", "channels", "phash"] and [bytes(x.phash) for x in sorted(got.collect())] == want
+
+
+def test_a_hundred_large_images_need_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from quadrille.llm import media as m
+image = m.encode(np.kron(np.arange(64, dtype=np.uint8).reshape(8, 8), np.ones((256, 256), np.uint8)), np.full(2048, 2))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+marks = [m.phashes(x[None]) for part in m.grouped([image] * 100) for _, x in m.decode_all(part)]
+assert len(marks) == 100
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 300 << 10
