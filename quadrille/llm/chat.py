@@ -2,8 +2,10 @@
 
 A record is JSON text in any layout.  Its nested field paths, without the values and their types, make a
 structure whose SHA-256 is the layout's fingerprint; the fingerprint selects a declarative mapping, and the
-mapping's paths turn the record into canonical turns (role, text).  Everything runs inside the JVM on VARIANT
-values.  A new layout is a new entry of ``MAPPINGS``, no code.
+mapping's paths turn the record into canonical turns (role, text).  A record with more fields than a layout (an id,
+names, tool calls) is taken by the fingerprint of its richest part that is one: of the mappings whose paths it all
+has, the one with most.  Records stay VARIANT values inside the JVM; only structures, of which there are few, go to
+Python, which keeps what it found for each.  A new layout is a new entry of ``MAPPINGS``, no code.
 
 Cases.  Text that isn't JSON, null and empty text have no fingerprint and no turns; layouts without a mapping
 have a fingerprint and no turns (``layouts`` reports them).  Turns whose text is null are left out, empty
@@ -15,7 +17,9 @@ named columns are read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,7 @@ MAPPINGS = [
     {"layout": "completion", "paths": ["prompt", "completion"], "turns": [("user", ["prompt"]), ("assistant", ["completion"])]},
     {"layout": "system_completion", "paths": ["system", "prompt", "completion"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
     {"layout": "instruction", "paths": ["instruction", "input", "output"], "turns": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    {"layout": "instruction_output", "paths": ["instruction", "output"], "turns": [("user", ["instruction"]), ("assistant", ["output"])]},
     {"layout": "question", "paths": ["question", "answer"], "turns": [("user", ["question"]), ("assistant", ["answer"])]},
 ]
 _LEAF = r"(?:BOOLEAN|BIGINT|DOUBLE|FLOAT|STRING|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|VOID|VARIANT|UUID|DECIMAL\(\d+, ?\d+\))"
@@ -62,6 +67,53 @@ def structure(record: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(schema, rf": {_LEAF}(?=[,>])", ":"), rf"<{_LEAF}>", "<>")
 
 
+def leaves_of(schema: str) -> set[str]:
+    """The leaves of a variant's schema as Spark writes it, ``[]`` for list items."""
+    found, at = set(), 0
+
+    def node(path: str) -> None:
+        nonlocal at
+        if schema.startswith("ARRAY<", at):
+            at += 6
+            node(path + "[]")
+            at += 1
+        elif schema.startswith("OBJECT<", at):
+            at += 7
+            while schema[at] != ">":
+                if schema[at] == "`":
+                    end = at + 1
+                    while schema[end] != "`" or schema[end + 1 : end + 2] == "`":
+                        end += 2 if schema[end] == "`" else 1
+                    name, at = schema[at + 1 : end].replace("``", "`"), end + 1
+                else:
+                    end = schema.index(":", at)
+                    name, at = schema[at:end], end
+                at += 2
+                node(f"{path}.{name}" if path else name)
+                at += 2 if schema.startswith(", ", at) else 0
+            at += 1
+        else:
+            end, deep = at, 0
+            while end < len(schema) and (deep or schema[end] not in ",>"):
+                deep += {"(": 1, ")": -1}.get(schema[end], 0)
+                end += 1
+            at = end
+            found.add(path)
+
+    node("")
+    return found
+
+
+def richest(schema: str | None, mappings: list[dict]) -> str | None:
+    """The fingerprint of the mapping with most paths of those whose paths are all among the schema's leaves; the first of equals."""
+    try:
+        leaves = leaves_of(schema or "")
+    except (IndexError, ValueError):  # a schema with names that can't be told apart from its syntax
+        return None
+    inside = [m for m in mappings if leaves.issuperset(m["paths"])]
+    return fingerprint_of(max(inside, key=lambda m: len(m["paths"]))["paths"]) if inside else None
+
+
 def _role(role: Column) -> Column:
     clean = F.lower(F.trim(role))
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
@@ -89,11 +141,24 @@ def _turns(mapping: dict, record: Column) -> Column:
 def parsed(records: DataFrame, id_col: str, raw_col: str, mappings: list[dict]) -> DataFrame:
     """(id, fingerprint, layout, turns) of every record."""
     known = {fingerprint_of(m["paths"]): m for m in mappings}
+
+    @F.arrow_udf("string")
+    def part(schemas: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: dict = {}
+        for column in schemas:
+            coded = column.dictionary_encode()
+            prints = []
+            for schema in coded.dictionary.to_pylist():
+                if schema not in held:
+                    held[schema] = richest(schema, mappings)
+                prints.append(held[schema])
+            yield pa.array(prints, pa.string()).take(coded.indices)
+
     row = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(raw_col).cast("string")).alias("record"))
-    row = row.withColumn("fingerprint", F.sha2(structure(F.col("record")), 256))
+    row = row.withColumn("fingerprint", F.sha2(structure(F.col("record")), 256)).withColumn("part", part(F.schema_of_variant("record")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for print_, mapping in known.items():
-        hit = F.col("fingerprint") == print_
+        hit = F.when(F.col("fingerprint").isin(*known), F.col("fingerprint")).otherwise(F.col("part")) == print_
         layout = F.when(hit, mapping["layout"]).otherwise(layout)
         turns = F.when(hit, _turns(mapping, F.col("record"))).otherwise(turns)
     return row.select("id", "fingerprint", layout.alias("layout"), F.filter(turns, lambda t: t["text"].isNotNull()).alias("turns"))

@@ -59,3 +59,30 @@ def test_round_trip_of_conversations(make):
     got = chat.canonical_turns(chat.heterogeneous(talk))
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got.collect()) == sorted(rows)
     assert {r.layout for r in got.collect()} == {"messages", "sharegpt", "dialog", "completion", "instruction"}
+
+
+def test_more_fields_than_a_layout_do_not_hide_it(make):
+    records = [
+        {"id": "a1", "messages": [{"role": "user", "content": "hi", "name": "Ann"}, {"role": "assistant", "content": "yo", "tool_calls": [{"id": 1, "function": {"name": "f", "arguments": "{}"}}]}], "meta": {"tags": ["x"], "score": 1.5}},
+        {"prompt": "p", "completion": "c", "odd `key`, <x>: y": 3, "system": "s"},
+        {"instruction": "i", "output": "o", "ratings": [1, 2]},
+        {"messages": [{"role": "user"}], "id": 5},
+        {"prompt": "p", "completion": "c", "question": "q", "answer": "a"},
+    ]
+    docs = make([(i, json.dumps(r), 0, 0) for i, r in enumerate(records)], SCHEMA)
+    got = {}
+    for r in sorted(chat.canonical_turns(docs).collect(), key=lambda r: (r.conv_id, r.turn)):
+        got.setdefault(r.conv_id, []).append((r.layout, r.role, r.text))
+    assert got[0] == [("messages", "user", "hi"), ("messages", "assistant", "yo")]
+    assert got[1] == [("system_completion", "system", "s"), ("system_completion", "user", "p"), ("system_completion", "assistant", "c")]
+    assert got[2] == [("instruction_output", "user", "i"), ("instruction_output", "assistant", "o")]
+    assert 3 not in got and [g[0] for g in got[4]] == ["completion"] * 2
+
+
+def test_leaves_are_the_paths_of_the_record(spark, make):
+    from pyspark.sql import functions as F
+
+    records = [*RECORDS, {"a": {"b": [[{"c": 1}], [{"d": None}]]}, "e f": [1.25, 2], "`": 1, "x.y": {"z": True}, "n": 123456789012345678901234567890}]
+    docs = make([(i, json.dumps(r), 0, 0) for i, r in enumerate(records)], SCHEMA)
+    for r in docs.select("conv_id", F.schema_of_variant(F.parse_json("raw")).alias("s")).collect():
+        assert chat.leaves_of(r.s) == paths(records[r.conv_id])
