@@ -5,15 +5,17 @@ own hash; no shard takes more than ceil((1 + EPSILON) * keys / shards) keys, and
 goes on clockwise to the next shard with room (Mirrokni, Thorup and Zadimoghaddam 2018).  Keys arrive in the
 order of a second hash, which makes the result independent of how the rows are stored.
 
-Because every shard prefers the same keys, that sequential filling equals deferred acceptance, which runs in
-parallel: a shard is described by the arrival up to which it takes keys; each round, shards that hold too
-many lower it to the arrival of their last key within capacity, and keys beyond it move on, until none holds
-too many.  The arrival is found by counts of its leading bits, refined 16 bits a pass, so no round sorts or
-shuffles the keys; the driver holds one number for each shard and the ring.
-
-Cases.  Null keys have no shard (null).  Rows that repeat a key are one key, and go to the same shard.  Keys
-are whole numbers, whose hashes never tie, or strings, for which 64-bit ties are settled together.  An empty
-table gives an empty result; fewer keys than shards leave shards empty.  Only the key column is read.
+Because every shard prefers the same keys, that sequential filling equals deferred acceptance: a shard is described
+by the arrival up to which it takes keys; shards that hold too many lower it to that of their last key within
+capacity, keys beyond it move on, until none holds too many.  The driver does this on counts alone: keys by arc of the
+ring and leading bits of their arrival, at most ``CELLS`` counts whatever the number of keys.  Only where a shard's last
+key lies inside a range of arrivals, that range is counted again by its next bits, so there are about as many
+counting jobs as the logarithm of the keys, none of which shuffles keys, and one pass assigns them.
+
+Cases.  Rows with a null key have no shard and aren't in the result.  Rows that repeat a key are one key.  Keys of
+other types than whole numbers may tie in all 64 bits of arrival: those that tie at a shard's last place are all
+taken, so it holds so many more.  An empty table gives an empty result; fewer keys than shards leave shards empty.  Only
+the key column is read; if its name is that of a column of the result, the result's gets a name that is free.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHARDS, VNODES, EPSILON = 64, 128, 0.05
-_FREE = (1 << 63) - 1
+SHARDS, VNODES, EPSILON, CELLS = 64, 128, 0.05, 1 << 21
+_SIGN = np.uint64(1 << 63)
+_TOP = np.uint64((1 << 64) - 1)
 
 
 @dataclass
 class Ring:
-    """Points in ascending order, the shard of each, and for each point its shards in clockwise order."""
+    """Points in ascending order, and the shard of each."""
 
     shards: int = SHARDS
     vnodes: int = VNODES
@@ -51,54 +54,76 @@ class Ring:
         """The point at or after each hash, clockwise."""
         return (np.searchsorted(self.points, at) % len(self.points)).astype(np.int32)
 
-    def clockwise(self, arc: int, limit: np.ndarray) -> list[tuple[int, int]]:
-        """(shard, arrival up to which it takes keys), from the arc on, up to the first shard with room for all."""
-        out, seen, n = [], set(), len(self.owner)
-        for step in range(n):
-            s = int(self.owner[(arc + step) % n])
-            if s not in seen:
-                seen.add(s)
-                out.append((s, int(limit[s])))
-                if limit[s] == _FREE:
-                    break
+    def held(self, arc: np.ndarray, arrival: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """The first shard from each arc on, clockwise, that takes keys up to this arrival (unsigned); -1 if none does."""
+        out, left, at = np.full(len(arc), -1, np.int32), np.arange(len(arc)), arc.astype(np.int64)
+        for _ in range(len(self.owner)):
+            shard = self.owner[at]
+            fits = arrival[left] <= limit[shard]
+            out[left[fits]] = shard[fits]
+            left, at = left[~fits], (at[~fits] + 1) % len(self.owner)
+            if not len(left):
+                break
         return out
 
 
-def _held(keys: DataFrame, ring: Ring, limit: np.ndarray) -> DataFrame:
-    """keys with their shard under the limits; the table of arcs is as large as the ring, not the data."""
-    spark = keys.sparkSession
-    rows = [(arc, ring.clockwise(arc, limit)) for arc in range(len(ring.points))]
-    arcs = spark.createDataFrame(rows, "arc int, choice array<struct<shard:int,upto:bigint>>")
-    first = F.filter("choice", lambda c: F.col("arrival") <= c["upto"])[0]["shard"]
-    return keys.join(F.broadcast(arcs), "arc").withColumn("shard", first).drop("choice")
-
-
-def _cuts(held: DataFrame, capacity: int, over: list[int]) -> dict[int, int]:
-    """For each shard in ``over``, the arrival of its capacity-th key."""
-    spark = held.sparkSession
-    state = {s: (0, 0, capacity) for s in over}  # leading bits known, their number, keys still to pass
-    rows = held.where(F.col("shard").isin(over)).select("shard", F.col("arrival").bitwiseXOR(F.lit(-(1 << 63))).alias("u"))  # in the order of unsigned numbers
-    for known in (0, 16, 32, 48):
-        table = spark.createDataFrame([(s, prefix) for s, (prefix, _, _) in state.items()], "shard int, prefix bigint")
-        shift = 48 - known
-        part = rows.join(F.broadcast(table), "shard")
-        if known:
-            part = part.where(F.shiftrightunsigned("u", 64 - known) == F.col("prefix"))
-        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(0xFFFF))
-        counted = part.groupBy("shard", digit.alias("digit")).agg(F.count("*").alias("n"))
-        needed = F.create_map(*(F.lit(x) for s, (_, _, k) in state.items() for x in (s, k)))
-        summed = counted.withColumn("upto", F.expr("sum(n) over (partition by shard order by digit)"))
-        last = summed.where((F.col("upto") >= needed[F.col("shard")]) & (F.col("upto") - F.col("n") < needed[F.col("shard")])).collect()
-        for r in last:
-            prefix, _, k = state[r.shard]
-            state[r.shard] = ((prefix << 16) | r.digit, known + 16, k - (r.upto - r.n))
-    return {s: (prefix ^ (1 << 63)) - (1 << 64) if (prefix ^ (1 << 63)) >> 63 else prefix ^ (1 << 63) for s, (prefix, _, _) in state.items()}
+@dataclass
+class Counts:
+    """Keys by arc and range of arrivals: ``last`` is the range's highest, ``bits`` how many leading bits it fixes."""
+
+    arc: np.ndarray
+    last: np.ndarray
+    bits: np.ndarray
+    n: np.ndarray
+
+    def limits(self, ring: Ring, capacity: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the limits, each at the end of a range, that no shard can lower without falling below capacity; the loads)."""
+        while True:
+            shard = ring.held(self.arc, self.last, limit)
+            loads = np.bincount(shard, self.n, ring.shards).astype(np.int64)
+            before = limit.copy()
+            for s in np.flatnonzero(loads > capacity):
+                mine = np.flatnonzero(shard == s)
+                mine = mine[np.argsort(self.last[mine], kind="stable")]
+                limit[s] = self.last[mine[np.searchsorted(np.cumsum(self.n[mine]), capacity)]]
+            if (limit == before).all():
+                return limit, loads
+
+
+def _counted(keys: DataFrame, bits: int) -> DataFrame:
+    return keys.groupBy("arc", F.shiftrightunsigned("arrival", 64 - bits).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def _cells(counted: DataFrame, bits: int) -> Counts:
+    found = counted.toArrow()
+    prefix = found.column("prefix").to_numpy().astype(np.uint64)
+    last = (prefix << np.uint64(64 - bits)) | (_TOP >> np.uint64(bits) if bits < 64 else np.uint64(0))
+    return Counts(found.column("arc").to_numpy().astype(np.int32), last, np.full(len(last), bits), found.column("n").to_numpy())
+
+
+def settled(keys: DataFrame, ring: Ring, capacity: int, cells: int = CELLS) -> np.ndarray:
+    """The limit of each shard for keys (arc, arrival), arrival being an unsigned number in a bigint."""
+    spark, arcs = keys.sparkSession, len(ring.points)
+    bits = max(1, min(16, (cells // arcs).bit_length() - 1))
+    counts, limit = _cells(_counted(keys, bits), bits), np.full(ring.shards, _TOP)
+    while True:
+        limit, loads = counts.limits(ring, capacity, limit)
+        cut = np.isin(counts.last, np.unique(limit[loads > capacity])) & (counts.bits < 64)
+        if not cut.any():
+            return limit
+        known = int(counts.bits[cut].min())  # ranges that fix fewest bits first, so that one job counts by one number of bits
+        cut &= counts.bits == known
+        ranges = np.unique(counts.last[cut] >> np.uint64(64 - known))
+        bits = min(64, known + max(1, (cells // (arcs * len(ranges))).bit_length() - 1))
+        wanted = spark.createDataFrame([(int(x.astype(np.int64)),) for x in ranges], "prefix bigint")  # at most one for each shard
+        part = keys.withColumn("prefix", F.shiftrightunsigned("arrival", 64 - known)).join(F.broadcast(wanted), "prefix", "left_semi").drop("prefix")
+        finer = _cells(_counted(part, bits), bits)
+        counts = Counts(*(np.concatenate([a[~cut], b]) for a, b in ((counts.arc, finer.arc), (counts.last, finer.last), (counts.bits, finer.bits), (counts.n, finer.n))))
 
 
 def assign(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, epsilon: float = EPSILON, scratch: Scratch | None = None) -> DataFrame:
     """(key, shard, home_shard, moved) for each distinct key; ``home_shard`` is the ring's without bounds."""
-    spark = rows.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(rows.sparkSession)
     ring = Ring(shards, vnodes)
 
     @F.arrow_udf("int")
@@ -106,18 +131,19 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
         return pa.array(ring.arc(at.to_numpy(zero_copy_only=False)))
 
     unique = rows.select(F.col(key).alias("key")).where("key is not null").distinct()
-    keys = scratch.table(unique.select("key", arc(F.xxhash64("key")).alias("arc"), F.xxhash64("key", F.lit("arrival")).alias("arrival")))
-    limit = np.full(shards, _FREE, np.int64)
-    total = keys.count()
-    capacity = int(np.ceil((1 + epsilon) * total / shards))
-    while True:
-        held = _held(keys, ring, limit)
-        loads = {r.shard: r.n for r in held.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        over = sorted(s for s, n in loads.items() if n > capacity)
-        if not over:
-            break
-        for s, cut in _cuts(held, capacity, over).items():
-            limit[s] = cut
-    home = spark.createDataFrame([(i, int(s)) for i, s in enumerate(ring.owner)], "arc int, home_shard int")
-    out = held.join(F.broadcast(home), "arc")
-    return out.select(F.col("key").alias(key), "shard", "home_shard", (F.col("shard") != F.col("home_shard")).alias("moved"))
+    arrival = F.xxhash64("key", F.lit("arrival")).bitwiseXOR(F.lit(-(1 << 63)))  # in the order of unsigned numbers
+    keys = scratch.table(unique.select("key", arc(F.xxhash64("key")).alias("arc"), arrival.alias("arrival")))
+    capacity = int(np.ceil((1 + epsilon) * keys.count() / shards))
+    limit = settled(keys.select("arc", "arrival"), ring, capacity)
+
+    @F.arrow_udf("int")
+    def held(arcs: pa.Array, arrivals: pa.Array) -> pa.Array:
+        return pa.array(ring.held(arcs.to_numpy(zero_copy_only=False), arrivals.to_numpy(zero_copy_only=False).view(np.uint64), limit))
+
+    @F.arrow_udf("int")
+    def owner(arcs: pa.Array) -> pa.Array:
+        return pa.array(ring.owner[arcs.to_numpy(zero_copy_only=False)])
+
+    names = [n + "_" * (n == key.lower()) for n in ("shard", "home_shard", "moved")]
+    out = keys.select("key", held("arc", "arrival").alias("s"), owner("arc").alias("h"))
+    return out.select(F.col("key").alias(key), F.col("s").alias(names[0]), F.col("h").alias(names[1]), (F.col("s") != F.col("h")).alias(names[2]))

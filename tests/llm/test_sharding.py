@@ -46,3 +46,16 @@ def test_defined_cases(spark, make):
     named = {r.text: r.shard for r in s.assign(frame, key="text", shards=3).collect()}
     assert named == brute(hashed(frame, "text"), s.Ring(3), s.EPSILON)
     assert s.assign(frame.limit(0)).collect() == []
+    clash = s.assign(frame.select("shard"), key="shard")
+    assert clash.columns == ["shard", "shard_", "home_shard", "moved"] and clash.count() == 1
+
+
+def test_few_cells_give_the_same_limits_and_ties_end(spark):
+    ring = s.Ring(8, 4)
+    keys = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(32)).cast("int").alias("arc"), F.xxhash64("id", F.lit("x")).alias("arrival"))
+    arcs, arrivals = (np.array(c) for c in zip(*keys.collect()))
+    shards = [ring.held(arcs, arrivals.view(np.uint64), s.settled(keys, ring, 394, cells)) for cells in (s.CELLS, 64, 1000)]
+    assert np.bincount(shards[0]).max() == 394 and all((x == shards[0]).all() for x in shards[1:])
+    tied = spark.range(300).select(F.lit(3).alias("arc"), F.lit(77).cast("bigint").alias("arrival"))
+    limit = s.settled(tied, ring, 10)
+    assert (ring.held(np.full(300, 3), np.full(300, 77, np.uint64), limit) == ring.owner[3]).all()
