@@ -10,7 +10,7 @@ forest of the pairs at or above the threshold, so its output is linear while the
 
 Cases.  Null text, empty text and text without a word: never a duplicate.  A text shorter than a shingle is
 one shingle.  Null ids: ignored by the search and kept by the filter.  Rows that repeat an id are one
-document.  The smallest id of a group is kept.  An empty table gives an empty result.  Only the id and text
+document, of which the filter keeps one row.  The smallest id of a group is kept.  An empty table gives an empty result.  Only the id and text
 columns are read, so other columns may have any name.
 """
 
@@ -219,9 +219,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.groupBy("id").agg(F.min("root").alias("root")).select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
 
 
+def once(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """docs with one row of each id that has several: that of the smallest text, then of the smallest hash of its other columns.
+
+    Only rows of repeated ids are shuffled with their columns, and combined before the shuffle.
+    """
+    name, row = fresh(docs, "again"), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = scratch.table(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name))
+    if again.isEmpty():
+        return docs
+    again = broadcast_if_small(again)
+    hit = F.col(id_col) == F.col(name)
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.join(again, hit, "left_semi").select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(*plain).alias("h"), row.alias("row"))
+    kept = rows.groupBy("i").agg(F.min_by("row", F.struct("t", "h")).alias("row")).select("row.*")
+    return docs.join(again, hit, "left_anti").unionByName(kept)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of docs whose document stays, with their columns as they are."""
+    """One row of each document that stays, with its columns as they are."""
     scratch = scratch or Scratch(docs.sparkSession)
     name = fresh(docs, "gone")
     gone = scratch.table(near_duplicates(docs, id_col, text_col, scratch=scratch, **options).select(F.col("doc_id").alias(name)))
-    return docs.join(broadcast_if_small(gone), F.col(id_col) == F.col(name), "left_anti")
+    return once(docs.join(broadcast_if_small(gone), F.col(id_col) == F.col(name), "left_anti"), id_col, text_col, scratch)

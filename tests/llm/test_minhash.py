@@ -90,3 +90,12 @@ def test_defined_cases(make):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 10]
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
     assert minhash.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_the_filter_keeps_one_row_of_a_repeated_id(make):
+    rows = [(1, "a text of five words", "x"), (1, "a text of five words", "x"), (2, "zeta only here", "y"), (2, "alpha only there", "y"), (2, None, "z"), (None, "lost", "n"), (None, "lost", "n"), (3, "another text stands alone", "k")]
+    docs = make([(i, t, s, 0) for i, t, s in rows], "doc_id bigint, text string, again string, i int").repartition(3)
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and left.dtypes == docs.dtypes
+    got = sorted((r.doc_id or 0, r.text or "", r.again) for r in left.collect())
+    assert got == [(0, "lost", "n"), (0, "lost", "n"), (1, "a text of five words", "x"), (2, "", "z"), (3, "another text stands alone", "k")]
