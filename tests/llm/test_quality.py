@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from quadrille.llm import quality as q
 
 WORDS = "the of and river stone garden window morning letter market people winter silver music because without never every other small great".split()
@@ -50,7 +51,40 @@ def test_kernel_is_approximated():
     assert np.abs(z @ z.T - exact).mean() < 0.07
 
 
-def test_normal_equations_equal_the_direct_solution_and_held_out_accuracy_is_high(make):
+def brute_scores(rows, labels, held):
+    """(score, probability) of each text: least squares over stacked rows, then the largest of the smallest means of the held-out bins."""
+    stats = q.statistics(pa.array([t for _, t in rows]))
+    mean, sd = stats.mean(0), stats.std(0)
+    z = q.random_features(stats, mean, np.where(sd < 1e-9, 1, sd))
+    at = {i: n for n, (i, _) in enumerate(rows)}
+    fit = [(at[i], y) for i, y in labels if i not in held]
+    x, y = z[[n for n, _ in fit]], np.array([y for _, y in fit], float)
+    penalty = np.sqrt(q.RIDGE * len(fit) / q.FEATURES) * np.eye(q.FEATURES, q.FEATURES + 1)
+    w = np.linalg.lstsq(np.concatenate([x, penalty]), np.concatenate([y, np.zeros(q.FEATURES)]), rcond=None)[0]
+    score, edges = z @ w, np.linspace(-0.5, 1.5, q.BINS - 1)
+    p, n = np.zeros(q.BINS), np.zeros(q.BINS)
+    for i, y in labels:
+        if i in held:
+            b = int((edges <= score[at[i]]).sum())
+            p[b], n[b] = p[b] + y, n[b] + 1
+    used = np.flatnonzero(n)
+    level = [max(min(p[used[i] : used[j] + 1].sum() / n[used[i] : used[j] + 1].sum() for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    last = [int((used <= int((edges <= s).sum())).sum()) - 1 for s in score]
+    return score, np.array([level[k] if k >= 0 else 0.0 for k in last])
+
+
+def test_the_whole_query_equals_least_squares_and_brute_force_calibration(spark, make):
+    rows, good = corpus(160)
+    labels = [(i, int(g)) for i, g in enumerate(good) if i % 3]
+    held = {r.id for r in spark.range(len(rows)).where(F.pmod(F.xxhash64("id"), F.lit(q.HOLD_OUT)) == 0).collect()}
+    score, probability = brute_scores(rows, labels, held)
+    got = {r.doc_id: r for r in q.scores(make(rows).repartition(3), make(labels, "doc_id bigint, quality int")).collect()}
+    np.testing.assert_allclose([got[i].score for i, _ in rows], score, atol=1e-6)
+    near_an_edge = np.abs((score[:, None] - np.linspace(-0.5, 1.5, q.BINS - 1))).min(1) < 1e-6
+    assert all(abs(got[i].probability - probability[n]) < 1e-9 and got[i].keep == (probability[n] >= q.KEEP_AT) for n, (i, _) in enumerate(rows) if not near_an_edge[n])
+
+
+def test_held_out_accuracy_is_high_whatever_the_partitions(make):
     rows, good = corpus()
     docs, labels = make(rows), make([(i, int(g)) for i, g in enumerate(good) if i % 2], "doc_id bigint, quality int")
     got = {r.doc_id: r for r in q.scores(docs.repartition(5), labels).collect()}
