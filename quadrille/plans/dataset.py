@@ -38,8 +38,20 @@ def _branches(engine: str) -> list[str]:
     return out
 
 
+#: What pages link to, all of it: absolute addresses as they are, others under the page's host.
+_HREF = 'href="([^"]*)"'
+_HREFS_SQL = f"""SELECT '{GRAPH}web' AS g, url AS s, 'iri' AS s_kind, '{VOC}links' AS p, CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang
+  FROM (SELECT url, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href FROM pages)"""
+
 #: Common table expressions for the same quads and types in the oracle's SQL.
-CTE = "WITH quads AS (\n" + "\nUNION\n".join(_branches("duckdb")) + f"\n), types AS (SELECT DISTINCT g, s, o AS c FROM quads WHERE p = '{terms.TYPE}'), utypes AS (SELECT DISTINCT s, c FROM types), triples AS (SELECT DISTINCT s, p, o, o_kind, dt FROM quads)"
+CTE = "WITH quads AS (\n" + "\nUNION\n".join([*_branches("duckdb"), _HREFS_SQL]) + f"\n), types AS (SELECT DISTINCT g, s, o AS c FROM quads WHERE p = '{terms.TYPE}'), utypes AS (SELECT DISTINCT s, c FROM types), triples AS (SELECT DISTINCT s, p, o, o_kind, dt FROM quads)"
+
+
+def _hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("href"))
+    target = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), "href"))
+    null = F.lit(None).cast("string")
+    return found.select(F.lit(GRAPH + "web").alias("g"), F.col("url").alias("s"), F.lit("iri").alias("s_kind"), F.lit(VOC + "links").alias("p"), target.alias("o"), F.lit("iri").alias("o_kind"), null.alias("dt"), null.alias("lang"))
 
 
 def unstored_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +64,7 @@ def unstored_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = source.select(F.lit(GRAPH + graph).alias("g"), F.expr(fill(subject)).alias("s"), said.alias("f"))
         part = part.select("g", "s", F.lit("iri").alias("s_kind"), "f.p", "f.o", "f.o_kind", "f.dt", F.lit(None).cast("string").alias("lang"))
         facts = part if facts is None else facts.unionByName(part)
-    return facts.repartition("s").distinct()
+    return facts.unionByName(_hrefs(spark, sf_dir)).repartition("s").distinct()
 
 
 _kept: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import terms
 from ..operators import mining
-from ..storage import exists
+from ..storage import delete, exists, names_in
 
 QUAD = "g string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string"
 
@@ -67,13 +67,13 @@ def maintain(stream: DataFrame, quads_path: str, patterns_path: str, checkpoint:
             old = spark.read.parquet(before)
             fresh = old.join(classes.withColumnRenamed("class", "subject_class"), "subject_class", "left_anti").unionByName(fresh)
         fresh.write.mode("overwrite").parquet(f"{patterns_path}/{number}")
+        if number > 1:  # the batch before stays, in case this one is done again
+            delete(spark, f"{patterns_path}/{number - 2}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, patterns_path: str) -> DataFrame:
-    """The patterns after the last whole batch."""
-    number = 0
-    while exists(spark, f"{patterns_path}/{number + 1}/_SUCCESS"):
-        number += 1
-    return spark.read.parquet(f"{patterns_path}/{number}")
+    """The patterns after the last whole batch; those of older batches but one are deleted."""
+    whole = [name for name in names_in(spark, patterns_path) if name.isdigit() and exists(spark, f"{patterns_path}/{name}/_SUCCESS")]
+    return spark.read.parquet(f"{patterns_path}/{max(map(int, whole))}")
