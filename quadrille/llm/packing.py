@@ -6,9 +6,10 @@ equal profiles are one node of the graph, however many they are, and stand side
 
 Graph.  Nodes are cut into boxes of about ``LEAF`` by a tree whose cuts lie across the widest direction of each
 part.  The boxes are files in the shared folder.  Every node looks for its ``NEIGHBOURS`` nearest in its own box
-and in those with the nearest centres, ``PROBES`` in all, ties going to the smaller id.  Up to ``PROBES`` boxes the
-graph is exact; beyond, a neighbour in a box that isn't looked at is missed (README has the measured recall).  The
-tree is built from a bounded sample, about ``SAMPLE`` rows, and has at most ``MAX_LEAVES`` boxes.
+and in those with the nearest centres, ``PROBES`` in all, ties going to the smaller id.  The nodes of one box choose
+among the ``READS`` boxes that most of them would look at, so what is read grows with the nodes, not with their square.
+Up to ``PROBES`` boxes the graph is exact; beyond, a neighbour in a box that isn't looked at is missed (README has the
+measured recall).  The tree is built from a bounded sample, about ``SAMPLE`` rows, and has at most ``MAX_LEAVES`` boxes.
 
 Paths.  Edges are taken from the whole graph, wherever the boxes' borders are: first those of the nodes of lowest
 degree (Shi et al. 2023), of these the nearest.  An edge joins two paths if each of its nodes is still an end of a
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 from . import textkit as tk
 from .common import Scratch, broadcast_if_small
 
-BUCKETS, NEIGHBOURS, LEAF, PROBES, SAMPLE, MAX_LEAVES, REST, RANGE, WINDOW = 128, 6, 2048, 40, 1 << 16, 1 << 16, 1 << 21, 1 << 16, 2048
+BUCKETS, NEIGHBOURS, LEAF, PROBES, READS, SAMPLE, MAX_LEAVES, REST, RANGE, WINDOW = 128, 6, 2048, 40, 64, 1 << 16, 1 << 16, 1 << 21, 1 << 16, 2048
 AXES = BUCKETS
 _CHUNK = 512
 
@@ -144,6 +145,28 @@ class Closest:
         return row[able], d[able].astype(np.int64), block[able], at[able]
 
 
+def chosen_boxes(queries: np.ndarray, centres: np.ndarray, own: int, probes: int, reads: int = READS) -> np.ndarray:
+    """(queries x probes) the boxes that each query of box ``own`` looks at: its own and those with the nearest centres, of the ``reads`` that most queries have among theirs."""
+
+    def nearest(among: np.ndarray, take: int) -> np.ndarray:
+        c = centres[among]
+        out = np.empty((len(queries), take), np.int64)
+        for s in range(0, len(queries), _CHUNK):
+            away = (c * c).sum(1) - 2 * (queries[s : s + _CHUNK] @ c.T)
+            away[:, among == own] = -np.inf
+            out[s : s + _CHUNK] = among[np.argpartition(away, take - 1, axis=1)[:, :take]]
+        return out
+
+    every = np.arange(len(centres))
+    if len(every) <= probes:
+        return np.tile(every, (len(queries), 1))
+    first = nearest(every, probes)
+    votes = np.bincount(first.ravel(), minlength=len(every))
+    if np.count_nonzero(votes) <= max(reads, probes):
+        return first
+    return nearest(np.sort(np.argsort(-votes, kind="stable")[: max(reads, probes)]), probes)
+
+
 def _ranked(row: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted rows: (n x k) positions of each row's k first, and which there are."""
     begin, end = np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), "right")
@@ -245,17 +268,14 @@ def neighbours(nodes: DataFrame, k: int, probes: int, scratch: Scratch) -> DataF
         for own in (x for batch in batches for x in batch.column(0).to_pylist()):
             ids, f = held(paths[own])
             near = Closest(f, k + 1)
-            away = (centres * centres).sum(1) - 2 * (near.q @ centres.T)
-            away[:, own] = -np.inf
-            take = min(probes, len(paths))
-            chosen = np.argpartition(away, take - 1, axis=1)[:, :take] if take < len(paths) else np.tile(np.arange(take), (len(f), 1))
-            box, who = chosen.ravel(), np.repeat(np.arange(len(f)), take)
+            chosen = chosen_boxes(near.q, centres, own, probes)
+            box, who = chosen.ravel(), np.repeat(np.arange(len(f)), chosen.shape[1])
             order = np.argsort(box, kind="stable")
             box, who = box[order], who[order]
             touched, begin = np.unique(box, return_index=True)
             end = np.append(begin[1:], len(box))
             names: dict[int, pa.Array] = {}
-            for j in np.argsort(away.mean(0)[touched], kind="stable"):  # the nearest first, so that later ones have a narrow limit
+            for j in np.argsort((centres[touched] ** 2).sum(1) - 2 * centres[touched] @ near.q.mean(0), kind="stable"):  # the nearest first, so that later ones have a narrow limit
                 b = int(touched[j])
                 there, points = held(paths[b]) if b != own else (ids, f)
                 before = len(near.hits)

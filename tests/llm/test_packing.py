@@ -63,6 +63,19 @@ def test_neighbours_are_those_of_the_whole_profiles_when_there_are_more_boxes_th
     assert right >= 0.9 * p.NEIGHBOURS * len(profiles)
 
 
+def test_a_box_reads_few_others():
+    r = np.random.default_rng(3)
+    queries, centres = r.normal(size=(700, p.BUCKETS)).astype(np.float32), r.normal(size=(90, p.BUCKETS)).astype(np.float32)
+    assert (p.chosen_boxes(queries, centres[:30], 4, 40) == np.arange(30)).all()
+    away = (centres**2).sum(1) - 2 * queries @ centres.T
+    away[:, 7] = -np.inf
+    want = np.sort(np.argsort(away, axis=1)[:, :10], axis=1)
+    assert (np.sort(p.chosen_boxes(queries, centres, 7, 10, 90), axis=1) == want).all()
+    few = p.chosen_boxes(queries, centres, 7, 10, 20)
+    votes = np.bincount(want.ravel(), minlength=90)
+    assert len(np.unique(few)) <= 20 and (few == 7).any(1).all() and set(np.unique(few)) <= set(np.argsort(-votes, kind="stable")[:20])
+
+
 def brute_joined(near):
     edges = {(min(i, j), max(i, j)): d for i, js in near.items() for d, j in js}
     degree = defaultdict(int)
