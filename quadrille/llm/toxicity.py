@@ -35,7 +35,7 @@ from . import textkit as tk
 from .common import Scratch, broadcast_if_small
 from .urlfilter import _buffer
 
-ORDER, PRIOR, HOLD_OUT, MAX_GRAMS, GRID, CHUNK = 5, 100, 5, 4_000_000, 2000, 8 << 20
+ORDER, PRIOR, HOLD_OUT, MAX_GRAMS, GRID, CHUNK = 5, 100, 5, 4_000_000, 2000, 3 << 20
 _START, _END = 1, 2
 
 
