@@ -17,6 +17,7 @@ named columns are read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,9 +63,9 @@ def fingerprint_of(paths: list[str]) -> str:
     return hashlib.sha256(structure_of(paths).encode()).hexdigest()
 
 
-def structure(record: Column) -> Column:
-    schema = F.schema_of_variant(record)
-    return F.regexp_replace(F.regexp_replace(schema, rf": {_LEAF}(?=[,>])", ":"), rf"<{_LEAF}>", "<>")
+def structure(schema: str) -> str:
+    """A variant's schema as Spark writes it, without leaf types."""
+    return re.sub(rf"<{_LEAF}>", "<>", re.sub(rf": {_LEAF}(?=[,>])", ":", schema))
 
 
 def leaves_of(schema: str) -> set[str]:
@@ -142,23 +143,24 @@ def parsed(records: DataFrame, id_col: str, raw_col: str, mappings: list[dict])
     """(id, fingerprint, layout, turns) of every record."""
     known = {fingerprint_of(m["paths"]): m for m in mappings}
 
-    @F.arrow_udf("string")
-    def part(schemas: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held: dict = {}
+    @F.arrow_udf("struct<fingerprint:string,part:string>")
+    def prints(schemas: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: dict = {None: (None, None)}
         for column in schemas:
             coded = column.dictionary_encode()
-            prints = []
+            found = []
             for schema in coded.dictionary.to_pylist():
                 if schema not in held:
-                    held[schema] = richest(schema, mappings)
-                prints.append(held[schema])
-            yield pa.array(prints, pa.string()).take(coded.indices)
+                    held[schema] = hashlib.sha256(structure(schema).encode()).hexdigest(), richest(schema, mappings)
+                found.append(held[schema])
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.string()).take(coded.indices) for i in (0, 1)], ["fingerprint", "part"])
 
     row = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(raw_col).cast("string")).alias("record"))
-    row = row.withColumn("fingerprint", F.sha2(structure(F.col("record")), 256)).withColumn("part", part(F.schema_of_variant("record")))
+    row = row.withColumn("p", prints(F.schema_of_variant("record"))).select("id", "record", "p.fingerprint", "p.part")
+    chosen = F.when(F.col("fingerprint").isin(*known), F.col("fingerprint")).otherwise(F.col("part"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for print_, mapping in known.items():
-        hit = F.when(F.col("fingerprint").isin(*known), F.col("fingerprint")).otherwise(F.col("part")) == print_
+        hit = chosen == print_
         layout = F.when(hit, mapping["layout"]).otherwise(layout)
         turns = F.when(hit, _turns(mapping, F.col("record"))).otherwise(turns)
     return row.select("id", "fingerprint", layout.alias("layout"), F.filter(turns, lambda t: t["text"].isNotNull()).alias("turns"))
