@@ -1,8 +1,12 @@
 """What a plan sends to the driver or between tasks when tables are large."""
 
+import re
+
 from pyspark.sql import functions as F
-from quadrille.operators import lookup
+from quadrille.functions import terms
+from quadrille.operators import lookup, mining, void
 from quadrille.plans import dataset
+from quadrille.streaming import incremental
 
 
 def broadcasts(df):
@@ -25,3 +29,27 @@ def test_only_the_registry_is_broadcast(spark, tmp_path):
     totals, missing = lookup.enrich_stats(entities, spark.read.parquet(f"{tmp_path}/index"), dataset.prefixes(spark))
     assert broadcasts(totals) == [] and totals.first().n_found == 20_000
     assert all("BuildRight" in x for x in broadcasts(missing)) and missing.count() == 0
+
+
+def test_stored_quads_are_mined_without_a_shuffle_by_subject(spark):
+    """They lie in buckets by subject; only counts of (class, property, object) move."""
+    quads = dataset.quads(spark, "/root/testdata/sf0.001")
+    for found in (mining.mine(quads), mining.mine(quads, scope=[dataset.GRAPH + "sales"]), mining.mine_datasets(quads), void.coverage(quads)):
+        moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", found._jdf.queryExecution().executedPlan().toString())
+        assert moved and not [x for x in moved if re.match(r"_?s#\d+(,|$)", x) and "oc#" not in x]
+
+
+def test_coverage_of_few_and_many_objects(spark):
+    """Subjects with one object, with the same few and with more than void.SAME, against counts by hand."""
+    types = {f"urn:s{i}": ["urn:A"] + ["urn:B"] * (i % 2) for i in range(8)} | {f"urn:o{i}": ["urn:X"] + ["urn:Y"] * (i % 3 == 0) for i in range(30)}
+    said = [(s, terms.TYPE, c, "iri") for s, cs in types.items() for c in cs]
+    said += [(f"urn:s{i}", "urn:p", f"urn:o{j}", "iri") for i in range(8) for j in range((1, 3, 3, 30, 17, 16, 1, 0)[i])]
+    said += [("urn:s1", "urn:p", "urn:untyped", "iri"), ("urn:s1", "urn:p", "_:b", "bnode"), ("urn:s2", "urn:name", "n", "literal"), ("urn:s2", "urn:name", "m", "literal")]
+    want = {}
+    for s, p, o, kind in said:
+        for c in types.get(s, []):
+            for oc in ["Literal"] if kind == "literal" else types.get(o, ["Resource"] if kind == "iri" else []):
+                want.setdefault((c, p, oc), []).append(s)
+    quads = spark.createDataFrame([("urn:g", s, "iri", p, o, kind, None, None) for s, p, o, kind in said], incremental.QUAD)
+    got = {(r.subject_class, r.property_uri, r.object_class): (r.participating_entities, r.occurrence_count) for r in void.coverage(quads).collect()}
+    assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
