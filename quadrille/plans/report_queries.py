@@ -84,7 +84,5 @@ def stream_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances of each class, counted by a stream over the stored quads; the last state of the sink."""
     stored, out = dataset.quads(spark, sf_dir), new_folder(spark)
     folder = stored.inputFiles()[0].rsplit("/", 1)[0]
-    counts = incremental.class_counts(spark.readStream.schema(stored.schema).parquet(folder))
-    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/state")
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/state")
+    incremental.keep_class_counts(spark.readStream.schema(stored.schema).parquet(folder), f"{out}/seen", f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    return incremental.latest(spark, f"{out}/counts")

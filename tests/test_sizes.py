@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import terms
 from quadrille.operators import lookup, mining, void
 from quadrille.plans import dataset
+from quadrille.sources import rdf
 from quadrille.streaming import incremental
 
 
@@ -53,3 +54,34 @@ def test_coverage_of_few_and_many_objects(spark):
     quads = spark.createDataFrame([("urn:g", s, "iri", p, o, kind, None, None) for s, p, o, kind in said], incremental.QUAD)
     got = {(r.subject_class, r.property_uri, r.object_class): (r.participating_entities, r.occurrence_count) for r in void.coverage(quads).collect()}
     assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
+
+
+def test_a_source_is_mined_with_types_from_elsewhere(spark):
+    quads = dataset.quads(spark, "/root/testdata/sf0.001")
+    own = mining.mine(quads.where(F.col("g") == dataset.GRAPH + "web"), of=mining.types(quads))
+    want = mining.mine_datasets(quads).where(F.col("dataset") == dataset.GRAPH + "web").drop("dataset")
+    assert "Exchange hashpartitioning(s#" not in own._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, want.select(own.columns).collect()), key=repr)
+
+
+def test_compressed_lines_are_read_again_in_files_of_bounded_length(spark, tmp_path):
+    rows = spark.range(250).select(F.concat(F.lit("urn:s"), "id").alias("s"), F.lit("urn:p").alias("p"), F.lit("x").alias("o"), F.lit("literal").alias("o_kind"), F.lit(terms.XSD + "string").alias("dt"))
+    rdf.write(rows.coalesce(1), f"{tmp_path}/all.nq", compressed=True, most=100)
+    assert len(list(tmp_path.glob("all.nq/*.gz"))) == 3
+    assert rdf.read(spark, f"{tmp_path}/all.nq").select("s").distinct().count() == 250
+
+
+def test_class_counts_and_patterns_over_several_batches(spark, tmp_path):
+    """An instance that returns counts once; a type that comes late moves its links."""
+    row = lambda s, p, o, kind="iri": ("urn:g", s, "iri", p, o, kind, None, None)
+    batches = [[row("urn:a", terms.TYPE, "urn:A"), row("urn:a", "urn:p", "urn:b")], [row("urn:a", terms.TYPE, "urn:A"), row("urn:b", terms.TYPE, "urn:B"), row("urn:c", terms.TYPE, "urn:A")], [row("urn:c", "urn:p", "urn:b")]]
+    for i, said in enumerate(batches):
+        spark.createDataFrame(said, incremental.QUAD).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = lambda: spark.readStream.schema(incremental.QUAD).parquet(f"{tmp_path}/in")
+        incremental.keep_class_counts(stream(), f"{tmp_path}/seen", f"{tmp_path}/counts", f"{tmp_path}/c1").awaitTermination()
+        incremental.maintain(stream(), f"{tmp_path}/quads", f"{tmp_path}/patterns", f"{tmp_path}/c2").awaitTermination()
+        got = {tuple(r) for r in incremental.latest(spark, f"{tmp_path}/counts").collect()}
+        assert got == [{("urn:A", 1)}, {("urn:A", 2), ("urn:B", 1)}, {("urn:A", 2), ("urn:B", 1)}][i]
+    want = mining.mine(spark.read.parquet(f"{tmp_path}/in")).collect()
+    assert sorted(map(tuple, incremental.latest(spark, f"{tmp_path}/patterns").collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert list(tmp_path.glob("quads/batch=0/*.zstd.parquet"))
