@@ -54,6 +54,44 @@ def test_equal_facts_of_a_row_count_once(spark):
     assert rows(stars.mine([star], by_graph=True)) == rows(mining.mine_datasets(quads))
 
 
+def test_numbered_iris_meet_as_their_texts_do(spark):
+    """A head and a whole number is a number; texts that say the same meet it, others don't, nor do heads that begin with another."""
+    things = spark.createDataFrame([(1, "A", 12), (12, "B", -(2**63)), (-(2**63), "A", None), (2**63 - 1, "C", 7)], "k bigint, c string, to bigint")
+    texts = spark.createDataFrame([(1, "urn:s/1"), (2, "urn:s/012"), (3, "urn:s/-9223372036854775808"), (4, "urn:s/9223372036854775807"), (5, "urn:s/ 1"), (6, None), (7, "urn:s/1"), (8, "urn:q/12")], "n int, v string")
+    tens = spark.createDataFrame([(2, 1), (3, 2)], "m int, w int")
+    said = lambda *rows: [("urn:g", stars.terms.TYPE if p == "type" else p, "iri", None, o) for p, o in rows]
+    tables = [
+        stars.Stars(things, "concat('urn:s/', k)", said(("type", "concat('urn:', c)"), ("type", "'urn:A'"), ("urn:to", "concat('urn:s/', to)"), ("urn:to", "'urn:s/12'"))),
+        stars.Stars(texts, "concat('urn:t/', n)", said(("type", "'urn:T'"), ("urn:said", "v"), ("urn:ten", "concat('urn:q/', n)"))),
+        stars.Stars(tens, "concat('urn:q/1', m)", said(("type", "'urn:Q'"), ("urn:ten", "concat('urn:q/1', w)"), ("urn:t", "concat('urn:t/', m)"))),
+    ]
+    quads = None
+    for x in tables:
+        each = F.inline(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("dt")) for g, p, kind, _, o in x.facts)))
+        part = x.rows.select(F.expr(x.subject).alias("s"), each).withColumn("lang", F.lit(None).cast("string"))
+        quads = part if quads is None else quads.unionByName(part)
+    assert rows(stars.mine(tables)) == rows(mining.mine(quads))
+    own = tables[0].rows.where("k = 1")
+    others = quads.where("s <> 'urn:s/1' and s not like 'urn:t/%' and s not like 'urn:q/%'")
+    assert rows(stars.mine([stars.Stars(own, tables[0].subject, tables[0].facts), *tables[1:]], others)) == rows(mining.mine(quads))
+
+
+@pytest.mark.parametrize("by_graph", [False, True])
+def test_patterns_of_plain_tables_need_no_text_of_numbered_iris(spark, by_graph):
+    """What is grouped, moved and joined for each row is a number."""
+    tables, rest = dataset.stars(spark, "/root/testdata/sf0.01")
+    plan = stars.mine(tables, rest, by_graph)._jdf.queryExecution().executedPlan().toString()
+    assert rest is None and "l_orderkey" in plan and f"concat({dataset.BASE}" not in plan
+
+
+def test_rows_alike_are_found_by_hash_and_told_apart_by_key(spark, odd):
+    """Of subjects of several numbers only hashes are counted, and no row of another subject is taken for a copy."""
+    found = {r.s for r in dataset._repeated(spark, odd, [x for x in dataset.stars(spark, odd)[0] if "line/" in x.subject]).collect()}
+    lines = [r.s for r in spark.read.parquet(f"{odd}/lineitem.parquet").select(F.expr(dataset._fill(dataset._LINE)).alias("s")).where("s is not null").collect()]
+    assert {s for s in found if "/line/" in s} == {s for s in lines if lines.count(s) > 1} != set()
+    assert any(k[1] == odd and k[2].startswith("hashes of") for k in dataset._kept)
+
+
 @pytest.mark.parametrize("where", ["plain", "odd"])
 def test_what_is_looked_up_in_facts_is_in_quads(spark, odd, where):
     folder = {"plain": DATA, "odd": odd}[where]
